@@ -22,8 +22,10 @@ from . import common, hashing
 
 #: Zones of one gram up to which they meet in one task.
 HOT = 512
+#: Windows of a strip, in which hot zones are compared at first.
+STRIP = 8
 #: Symbols taken at a time; a longer document is cut into chunks that overlap by a window.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: What becomes of a zone: all its windows are repeated; still open; stands for equal ones; and the latter two where the gram is hot.
 REPEATED, OPEN, STANDS, OPEN_HOT, STANDS_HOT = range(5)
 
@@ -79,6 +81,7 @@ def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool]:
     earlier: a window is repeated if it occurs in a document with a smaller id; else, if it occurs anywhere else."""
     grams = zones.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
     grams = grams.where("d0 < d1" if earlier else "c > 1").select("k", (F.col("u0") == F.col("u1")).alias("same"), "d0")
+    grams = common.stored(grams, "grams")  # so that the join below can deal a hot gram to many tasks
     met = common.stored(zones.join(grams, "k"), "zones")
     equal = met.where("same AND doc > d0" if earlier else "same").select("doc", "th", "lo", F.lit(REPEATED).alias("kind"))
     mixed = met.where("NOT same").select("k", "u", "doc", "th", "lo", "d0")
@@ -88,7 +91,7 @@ def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool]:
         kind = F.when(F.col("doc") > F.col("first.doc"), REPEATED).when(F.col("doc") > F.col("d0"), OPEN).otherwise(STANDS)
     else:
         kind = F.when(F.col("c") == 1, OPEN).otherwise(REPEATED)
-    mixed = mixed.join(whole, ["k", "u"]).select("k", "doc", "th", "lo", kind.alias("kind"), (F.col("c") > 1).alias("several"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
+    mixed = mixed.join(common.stored(whole, "whole"), ["k", "u"]).select("k", "doc", "th", "lo", kind.alias("kind"), (F.col("c") > 1).alias("several"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
     mixed = common.stored(mixed, "mixed")
     sent = mixed.where(f"kind <> {REPEATED}" + ("" if earlier else " OR is_first")).select("k", "doc", "th", "lo", F.when(F.col("kind") == REPEATED, STANDS).otherwise(F.col("kind")).alias("kind"))
     sent = sent.distinct()
@@ -99,6 +102,25 @@ def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool]:
     return by_doc, hot.limit(1).count() > 0
 
 
+def hot_spans(strips: DataFrame, earlier: bool) -> DataFrame:
+    """doc, th, s, e of the repeated window starts of open strips, runs of STRIP windows of a hot gram.
+
+    A strip that occurs again as a whole is repeated as a whole; only of the others, and of one of each such set, the
+    windows are looked at one by one, and only if what all windows of the strip have in common occurs again."""
+    whole = common.stored(strips.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "th", "s")).alias("first")).where("c > 1"), "whole")
+    known = common.stored(strips.join(whole, ["h1", "h2"], "left"), "known")
+    again = "c > 1 AND doc > first.doc" if earlier else "c > 1"
+    left = "c IS NULL OR doc = first.doc" if earlier else "c IS NULL OR (doc = first.doc AND th = first.th AND s = first.s)"
+    cores = strips.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1" if earlier else "n > 1")
+    left = known.where(left).join(common.stored(cores.select("core"), "cores"), "core", "left_semi")
+    windows = left.select("doc", "th", "s", (F.col("open") & (F.lit(True) if earlier else F.col("c").isNull())).alias("open"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    windows = windows.select("doc", "th", (F.col("s") + F.col("i")).alias("s"), "open", "w.w1", "w.w2")
+    counted = common.stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("d0")).where("c > 1"), "counted")
+    single = windows.where("open").join(counted, ["w1", "w2"])
+    single = (single.where("doc > d0") if earlier else single).select("doc", "th", "s", F.col("s").alias("e"))
+    return known.where("open").where(again).select("doc", "th", "s", "e").union(single)
+
+
 def spans_of(starts: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join intervals [start, last] of window starts that touch or overlap."""
     order = np.argsort(starts, kind="stable")
@@ -124,6 +146,7 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
     keyed = common.doc_keys(docs)
     flags, any_hot = decide(zone_rows(keyed, read, window, gram), earlier)
     names = result.names
+    strip = max(1, min(STRIP, window // 2))
     base = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("doc_id", pa.int64()), ("text", pa.binary()), ("waits", pa.bool_()), ("sends", pa.bool_()), ("los", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("s", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), *result])
     ddl = f"doc long, th int, doc_id long, text binary, waits boolean, sends boolean, los array<long>, kinds array<int>, s array<long>, e array<long>, {result_ddl}"
 
@@ -185,16 +208,24 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
             doc, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             texts = batch.column(2).to_pylist()
             second: dict[int, np.ndarray] = {}
-            out: list[list] = [[] for _ in range(6)]
-            for i, kind, prefix, lo, hi, _, _, at, _ in open_zones(batch, (OPEN_HOT, STANDS_HOT)):
+            out: list[list] = [[] for _ in range(10)]
+            for i, kind, prefix, lo, hi, anchor, _, at, _ in open_zones(batch, (OPEN_HOT, STANDS_HOT)):
                 if i not in second:
                     second = {i: hashing.Prefix(read([texts[i]])[0], hashing.SECOND_BASE, hashing.SECOND_INVERSE)}
                 s = np.arange(lo, hi + 1)
-                own = s - at
-                for c, x in zip(out, (prefix.of(s, s + window).view(np.int64), second[i].of(own, own + window).view(np.int64), np.full(len(s), doc[i]), np.full(len(s), th[i]), own, np.full(len(s), kind == OPEN_HOT)), strict=True):
+                block = (anchor - s) // strip  # counted from the anchor, so that equal stretches are cut alike
+                first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+                a, b = s[first], s[np.append(first[1:], len(s)) - 1]
+                n = len(first)
+                w1, w2 = prefix.of(s, s + window).view(np.int64), second[i].of(s - at, s - at + window).view(np.int64)
+                row = (prefix.of(a, b + window).view(np.int64), second[i].of(a - at, b - at + window).view(np.int64), np.full(n, doc[i]), np.full(n, th[i]), a - at, b - at, np.full(n, kind == OPEN_HOT))
+                core = anchor - block[first] * strip  # from here, for window - strip + 1 symbols, all windows of the strip agree
+                row = (*row, prefix.of(core, core + window - strip + 1).view(np.int64))
+                for c, x in zip(out, (*row, np.split(w1, first[1:]), np.split(w2, first[1:])), strict=True):
                     c.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h1", "h2", "doc", "th", "s", "open"])
+                lists = [pa.array([x for c in out[k] for x in c], pa.list_(pa.int64())) for k in (8, 9)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out[:8]), *lists], names=["h1", "h2", "doc", "th", "s", "e", "open", "core", "w1", "w2"])
 
     width = np.dtype(symbol).itemsize
 
@@ -231,7 +262,7 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
                 held.append(batch)
                 size += batch.nbytes
                 continue
-            if size > (1 << 20) * width:
+            if size > (1 << 19) * width:
                 yield answer(held)
                 held, size = [], 0
             held.append(batch.slice(cut))
@@ -243,10 +274,8 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
     zone = "key long, doc long, th int, lo long, head int, open boolean, body binary"
     found = sends.mapInArrow(send, zone).repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, th int, s long, e long")
     if any_hot:
-        windows = common.stored(sends.mapInArrow(send_hot, "h1 long, h2 long, doc long, th int, s long, open boolean"), "windows")
-        counted = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("d0")).where("c > 1")
-        again = windows.where("open").join(counted, ["h1", "h2"])
-        found = found.union((again.where("doc > d0") if earlier else again).select("doc", "th", "s", F.col("s").alias("e")))
+        strips = common.stored(sends.mapInArrow(send_hot, "h1 long, h2 long, doc long, th int, s long, e long, open boolean, core long, w1 array<long>, w2 array<long>"), "strips")
+        found = found.union(hot_spans(strips, earlier))
     spans = found.groupBy("doc", "th").agg(F.collect_list("s").alias("more_s"), F.collect_list("e").alias("more_e"))
     out = pa.schema([("doc_id", pa.int64()), *result])
 
