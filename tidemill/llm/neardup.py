@@ -15,8 +15,8 @@ from .hashing import U
 
 #: MinHash values in a band; MinHash samples folded into an odd sketch, one from each bin of one permutation; its longs.
 BAND_ROWS = 5
-SAMPLES = 512
-SKETCH_LONGS = 16
+SAMPLES = 1024
+SKETCH_LONGS = 32
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-6
 #: Standard errors below the threshold at which a sketch's estimate rules a pair out.
@@ -109,7 +109,9 @@ def may_be_similar(a: str, b: str, threshold: float) -> Column:
     t = -bits / 2 * F.log(F.greatest(1 - 2 * apart / bits, F.lit(1e-9)))
     most = F.greatest(f"{a}samples", f"{b}samples")
     estimate = (F.col(f"{a}samples") + F.col(f"{b}samples") - t) / 2 / most
-    error = F.sqrt(threshold * (1 - threshold) / most + 0.02 / most)
+    left_out = 1 - most / F.greatest(f"{a}n", f"{b}n")  # a small set is sampled almost whole
+    flips = t * t / bits  # of the estimate of t, from bits that were flipped more than once
+    error = F.sqrt(threshold * (1 - threshold) / most * left_out + (flips + 4) / (most * most))
     sizes = F.least(f"{a}n", f"{b}n") >= threshold * F.greatest(f"{a}n", f"{b}n") - 1e-6
     return sizes & (estimate >= threshold - SLACK * error)
 
@@ -208,11 +210,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     member = common.stored(sizes.join(classes, ["n", "c1", "c2"], "left").select("doc", "th", "doc_id", "n", F.coalesce("rep", "doc").alias("rep")), "members")
     first = member.where("n > 0 AND doc = rep").select("doc", "th")
     heads = signed.where("n_shingles > 0").join(first, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
-    buckets = heads.select("doc", "th", F.explode("bands").alias("key"))
+    buckets = heads.select("doc", "th", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("key", "head")
-    met = common.stored(buckets.join(shared, "key").select("key", "doc", "th", "head"), "buckets")
+    met = common.stored(buckets.join(common.stored(shared, "shared"), "key").select("key", "band", "doc", "th", "head"), "buckets")
     wanted = met.select("doc", "th").distinct()
-    sketches = common.stored(signed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", F.col("n_shingles").alias("n"), "sketch", "samples"), "sketches")
+    sketches = common.stored(signed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", F.col("n_shingles").alias("n"), "sketch", "samples", "bands"), "sketches")
     sets = full_sets(docs, wanted, words)
     side = lambda p: sketches.select(*[F.col(c).alias(f"{p}{c}") for c in ("doc", "n", "sketch", "samples")])
     tried = met.where("doc > head").select("head", "doc").distinct()
@@ -222,16 +224,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = links.union(again.select("a", F.explode("reps").alias("b")).where("a < b"))
     label = components(links)
     # buckets that hold more than one component
-    named = common.stored(met.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "th", "head", F.coalesce("label", "doc").alias("label")), "named")
+    named = common.stored(met.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", "th", "head", F.coalesce("label", "doc").alias("label")), "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one < two").select("key")
-    rows = common.stored(named.join(mixed, "key", "left_semi").join(sketches, ["doc", "th"]), "mixed")
-    heads_label = rows.where("doc = head").select("key", F.col("label").alias("head_label")).distinct()
-    pick = lambda d, p: d.select("key", *[F.col(c).alias(f"{p}{c}") for c in ("doc", "label", "n", "sketch", "samples")])
-    strays = rows.join(heads_label, "key").where("label <> head_label")
-    x = pick(strays, "a_").withColumnRenamed("key", "a_key")
-    y = pick(rows.join(heads_label, "key").withColumn("stray", F.col("label") != F.col("head_label")), "b_").withColumnRenamed("key", "b_key")
-    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & (F.col("a_doc") != F.col("b_doc"))
-    more = x.join(y, apart & may_be_similar("a_", "b_", threshold)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
+    rows = named.join(common.stored(mixed, "mixed"), "key", "left_semi").join(sketches, ["doc", "th"])
+    heads_label = common.stored(named.where("doc = head").select("key", F.col("label").alias("head_label")).distinct(), "heads")
+    rows = common.stored(rows.join(heads_label, "key"), "mixed")
+    pick = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in ("key", "band", "doc", "label", "head_label", "n", "sketch", "samples", "bands")])
+    x, y = pick(rows.where("label <> head_label"), "a_"), pick(rows, "b_").withColumn("b_stray", F.col("b_label") != F.col("b_head_label"))
+    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & (~F.col("b_stray") | (F.col("a_doc") < F.col("b_doc")))
+    # a pair is looked at in the first band it shares
+    for j in range(bands_for(threshold) - 1):
+        first_band = (F.col("a_band") <= j) | (F.col("a_bands")[j] != F.col("b_bands")[j])
+        apart_first = first_band if j == 0 else apart_first & first_band
+    more = x.join(y, apart & may_be_similar("a_", "b_", threshold) & apart_first).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
     more = more.join(tried.select(F.col("head").alias("a"), F.col("doc").alias("b")), ["a", "b"], "left_anti")
     later = common.stored(confirmed(more, sets, percent), "links")
     if later.limit(1).count():
