@@ -90,7 +90,7 @@ class Context:
         return self._named(s, F.col("__df_b") + F.col("__df_m").bitwiseAND(F.lit((1 << 33) - 1)), joined)
 
     def _named(self, s: Stream, position: Column, df: DataFrame) -> Stream:
-        keep = [*s.columns, *(c for c in s.internal if c != SEQ and c not in s.order)]
+        keep = [*s.columns, *(c for c in s.internal if c == TS or (c != SEQ and c not in s.order))]
         return s.with_df(df.select(*keep, position.alias(SEQ)), order=(SEQ,), dense=True)
 
     def running(self, s: Stream, outs: dict[str, tuple[str, Column, bool]]) -> Stream:
