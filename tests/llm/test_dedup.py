@@ -194,7 +194,7 @@ def test_subtree_finds_deep_nodes():
     words = hashing.mixed(np.array([1, 2, 3, 1, 2, 3, 1, 2, 9], dtype=np.uint64))
     tree = substring_dedup.Subtree(hashing.Prefix(words), np.arange(7), np.zeros(7, dtype=int), 3)
     groups = Counter(tree.node[tree.node >= 0].tolist())
-    assert sorted(groups.values()) == [2] and (tree.node[[0, 3]] >= 0).all()
+    assert sorted(groups.values()) == [2, 2, 2] and tree.node[6] < 0 and (tree.node[[0, 3]] >= 0).all()
 
 
 # decontamination
