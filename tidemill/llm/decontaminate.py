@@ -73,6 +73,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     split = keyed.join(candidates, ["doc", "th"], "left").select("doc_id", "doc", "th", words_of(F.col("text")).alias("w"), "candidates")
     cut = "transform(candidates, c -> struct(c.item AS item, c.diagonal AS diagonal, slice(w, greatest(c.diagonal, 0) + 1, c.n + least(c.diagonal, 0)) AS w))"
     found = common.stored(split.select("doc_id", "doc", "th", F.size("w").cast("long").alias("n_words"), F.expr(cut).alias("parts")), "parts")
+    common.discard(counts, places, anchors, index)
     part = found.where("parts IS NOT NULL").dropDuplicates(["doc", "th"]).select("doc", "th", F.explode("parts").alias("p")).select("doc", "th", "p.*")
     same = part.join(if_small(items), "item").select("doc", "th", "item_id", "diagonal", "len", F.expr("transform(iw, (x, i) -> coalesce(get(w, i + least(diagonal, 0)) = x, false))").alias("same"))
     hits = same.select("doc", "th", "item_id", "len", F.explode(F.expr("filter(sequence(0, size(same) - len), t -> forall(slice(same, t + 1, len), x -> x))")).alias("t"), "diagonal")

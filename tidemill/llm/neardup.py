@@ -181,9 +181,11 @@ def components(links: DataFrame) -> DataFrame:
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = spread.join(labels.select(F.col("node").alias("mid"), F.col("label").alias("far")), "mid").select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") < F.col("old")).alias("moved"))
         now = common.stored(jump, "labels")
-        labels = now.select("node", "label")
+        common.discard(labels)
+        labels = now
         if not now.where("moved").limit(1).count():
-            return labels
+            common.discard(edges)
+            return labels.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -212,9 +214,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     heads = signed.where("n_shingles > 0").join(first, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
     buckets = heads.select("doc", "th", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("key", "head")
-    met = common.stored(buckets.join(common.stored(shared, "shared"), "key").select("key", "band", "doc", "th", "head"), "buckets")
+    shared = common.stored(shared, "shared")
+    met = common.stored(buckets.join(shared, "key").select("key", "band", "doc", "th", "head"), "buckets")
     wanted = met.select("doc", "th").distinct()
     sketches = common.stored(signed.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "th", F.col("n_shingles").alias("n"), "sketch", "samples", "bands"), "sketches")
+    common.discard(signed, shared)
     sets = full_sets(docs, wanted, words)
     side = lambda p: sketches.select(*[F.col(c).alias(f"{p}{c}") for c in ("doc", "n", "sketch", "samples")])
     tried = met.where("doc > head").select("head", "doc").distinct()
@@ -226,7 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # buckets that hold more than one component
     named = common.stored(met.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", "th", "head", F.coalesce("label", "doc").alias("label")), "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one < two").select("key")
-    rows = named.join(common.stored(mixed, "mixed"), "key", "left_semi").join(sketches, ["doc", "th"])
+    mixed = common.stored(mixed, "mixed")
+    rows = named.join(mixed, "key", "left_semi").join(sketches, ["doc", "th"])
     heads_label = common.stored(named.where("doc = head").select("key", F.col("label").alias("head_label")).distinct(), "heads")
     rows = common.stored(rows.join(heads_label, "key"), "mixed")
     pick = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in ("key", "band", "doc", "label", "head_label", "n", "sketch", "samples", "bands")])
@@ -239,6 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = x.join(y, apart & may_be_similar("a_", "b_", threshold) & apart_first).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
     more = more.join(tried.select(F.col("head").alias("a"), F.col("doc").alias("b")), ["a", "b"], "left_anti")
     later = common.stored(confirmed(more, sets, percent), "links")
+    common.discard(met, sets, sketches, named, mixed, heads_label, rows)
     if later.limit(1).count():
         label = components(links.union(later))
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "doc_id", "n", F.coalesce("label", "rep").alias("c"))

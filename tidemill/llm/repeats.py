@@ -75,14 +75,16 @@ def zone_rows(keyed: DataFrame, read: Reader, window: int, gram: int) -> DataFra
     return keyed.select("doc", "th", "text").mapInArrow(rows, "k long, u long, doc long, th int, lo long")
 
 
-def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool]:
-    """doc, th, los, kinds: what is known of the zones of each document that has any; and whether a gram is hot.
+def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool, list[DataFrame]]:
+    """doc, th, los, kinds: what is known of the zones of each document that has any; whether a gram is hot; and the
+    stored tables that this is read from.
 
     earlier: a window is repeated if it occurs in a document with a smaller id; else, if it occurs anywhere else."""
     grams = zones.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
     grams = grams.where("d0 < d1" if earlier else "c > 1").select("k", (F.col("u0") == F.col("u1")).alias("same"), "d0")
     grams = common.stored(grams, "grams")  # so that the join below can deal a hot gram to many tasks
     met = common.stored(zones.join(grams, "k"), "zones")
+    common.discard(grams)
     equal = met.where("same AND doc > d0" if earlier else "same").select("doc", "th", "lo", F.lit(REPEATED).alias("kind"))
     mixed = met.where("NOT same").select("k", "u", "doc", "th", "lo", "d0")
     first = F.struct("doc", "th", "lo")
@@ -91,15 +93,17 @@ def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool]:
         kind = F.when(F.col("doc") > F.col("first.doc"), REPEATED).when(F.col("doc") > F.col("d0"), OPEN).otherwise(STANDS)
     else:
         kind = F.when(F.col("c") == 1, OPEN).otherwise(REPEATED)
-    mixed = mixed.join(common.stored(whole, "whole"), ["k", "u"]).select("k", "doc", "th", "lo", kind.alias("kind"), (F.col("c") > 1).alias("several"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
+    whole = common.stored(whole, "whole")
+    mixed = mixed.join(whole, ["k", "u"]).select("k", "doc", "th", "lo", kind.alias("kind"), (F.col("c") > 1).alias("several"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
     mixed = common.stored(mixed, "mixed")
+    common.discard(whole)
     sent = mixed.where(f"kind <> {REPEATED}" + ("" if earlier else " OR is_first")).select("k", "doc", "th", "lo", F.when(F.col("kind") == REPEATED, STANDS).otherwise(F.col("kind")).alias("kind"))
     sent = sent.distinct()
     hot = common.stored(sent.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("k", F.lit(2).alias("more")), "hot")
     sent = sent.join(hot, "k", "left").select("doc", "th", "lo", (F.col("kind") + F.coalesce("more", F.lit(0))).cast("int").alias("kind"))
     known = equal.union(mixed.where(f"kind = {REPEATED}").select("doc", "th", "lo", "kind")).union(sent)
     by_doc = known.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "kind")).alias("z")).select("doc", "th", F.col("z.lo").alias("los"), F.col("z.kind").alias("kinds"))
-    return by_doc, hot.limit(1).count() > 0
+    return by_doc, hot.limit(1).count() > 0, [met, mixed, hot]
 
 
 def hot_spans(strips: DataFrame, earlier: bool) -> DataFrame:
@@ -144,7 +148,7 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
 
     match(keys, docs, bodies, heads, offsets, open, earlier) compares the suffixes of zones and returns a mask for each."""
     keyed = common.doc_keys(docs)
-    flags, any_hot = decide(zone_rows(keyed, read, window, gram), earlier)
+    flags, any_hot, used = decide(zone_rows(keyed, read, window, gram), earlier)
     names = result.names
     strip = max(1, min(STRIP, window // 2))
     base = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("doc_id", pa.int64()), ("text", pa.binary()), ("waits", pa.bool_()), ("sends", pa.bool_()), ("los", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("s", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), *result])
@@ -176,6 +180,7 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
 
     joined = keyed.join(flags, ["doc", "th"], "left").select("doc", "th", "doc_id", "text", "los", "kinds")
     table = common.stored(joined.mapInArrow(first_pass, ddl), "documents")
+    common.discard(*used)
 
     def open_zones(batch: pa.RecordBatch, wanted: tuple[int, int]) -> Iterator[tuple]:
         """(row, kind, prefix, lo, hi, anchor, gram hash, offset, values) of zones of the wanted kinds."""
