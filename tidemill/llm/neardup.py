@@ -20,7 +20,7 @@ SKETCH_LONGS = 32
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-6
 #: Standard errors below the threshold at which a sketch's estimate rules a pair out.
-SLACK = 4.5
+SLACK = 3.7
 _RNG = np.random.default_rng(99)
 _WORD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 SIGNATURE = "doc long, th int, doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, samples int"
@@ -102,18 +102,19 @@ def odd_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def may_be_similar(a: str, b: str, threshold: float) -> Column:
     """False where set sizes or sketches rule out a similarity of threshold; a and b prefix n, sketch and samples.
 
-    With t bits flipped apart, m = (samples_a + samples_b - t) / 2 samples agree, and m / max(samples) estimates the
-    similarity or more. It must lie SLACK standard errors below the threshold to rule a pair out."""
+    With t bits flipped apart, m = (samples_a + samples_b - t) / 2 bins agree. At the threshold the union of both sets
+    has u = (n_a + n_b) / (1 + threshold) shingles, which fill about SAMPLES * (1 - exp(-u / SAMPLES)) bins, and the
+    threshold's share of these agree. m must lie SLACK standard errors below that to rule a pair out."""
     bits = 64.0 * SKETCH_LONGS
     apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
     t = -bits / 2 * F.log(F.greatest(1 - 2 * apart / bits, F.lit(1e-9)))
-    most = F.greatest(f"{a}samples", f"{b}samples")
-    estimate = (F.col(f"{a}samples") + F.col(f"{b}samples") - t) / 2 / most
-    left_out = 1 - most / F.greatest(f"{a}n", f"{b}n")  # a small set is sampled almost whole
-    flips = t * t / bits  # of the estimate of t, from bits that were flipped more than once
-    error = F.sqrt(threshold * (1 - threshold) / most * left_out + (flips + 4) / (most * most))
+    m = (F.col(f"{a}samples") + F.col(f"{b}samples") - t) / 2
+    union = (F.col(f"{a}n") + F.col(f"{b}n")) / (1 + threshold)
+    filled = SAMPLES * (1 - F.exp(-union / SAMPLES))
+    chance = filled * threshold * (1 - threshold) * (1 - filled / union)  # a small set is sampled almost whole
+    flips = t * t / (2 * bits) + 0.25  # bits that were flipped more than once
     sizes = F.least(f"{a}n", f"{b}n") >= threshold * F.greatest(f"{a}n", f"{b}n") - 1e-6
-    return sizes & (estimate >= threshold - SLACK * error)
+    return sizes & (m >= threshold * filled - SLACK * F.sqrt(chance + flips))
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for j in range(bands_for(threshold) - 1):
         first_band = (F.col("a_band") <= j) | (F.col("a_bands")[j] != F.col("b_bands")[j])
         apart_first = first_band if j == 0 else apart_first & first_band
-    more = x.join(y, apart & may_be_similar("a_", "b_", threshold) & apart_first).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
+    more = x.join(y, apart & apart_first & may_be_similar("a_", "b_", threshold)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
     more = more.join(tried.select(F.col("head").alias("a"), F.col("doc").alias("b")), ["a", "b"], "left_anti")
     later = common.stored(confirmed(more, sets, percent), "links")
     common.discard(met, sets, sketches, named, mixed, heads_label, rows)
