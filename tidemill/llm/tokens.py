@@ -8,14 +8,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Units remembered in a worker, a bound on its memory.
-REMEMBERED = 1_200_000
+REMEMBERED = 2_000_000
 MARKS = (".", ",", ";", ":", "!", "?")
+# The character that stands for each byte in a byte-level vocabulary.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _BESIDE = re.compile(r"\s\s")
 _MADE: dict[str, "Encoder"] = {}
 
@@ -35,19 +38,13 @@ class Encoder(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         pre = str(self.tokenizer.pre_tokenizer)
         self.by_unit = self.tokenizer.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
-        if self.by_unit:  # a word of letters behind a space is one pre-token, found without the pattern
-            self.by_word = Tokenizer.from_file(path)
-            self.by_word.encode_special_tokens = True
-            self.by_word.pre_tokenizer = Sequence([Split(" ", "merged_with_next"), ByteLevel(add_prefix_space=False, use_regex=False)])
-            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
-            self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.line = self.whole("\n")
         self.marks = {m: self.whole(m) for m in MARKS}
         self._sizes: np.ndarray | None = None
 
@@ -61,46 +58,51 @@ class Encoder(dict):
         self[unit] = ids
         return ids
 
+    def _letters(self, text: str, lead: str) -> bytes | None:
+        """The ids of a word of letters, or of one with a mark behind it, which is a pre-token of its own."""
+        word, mark = (text, b"") if text.isalpha() else (text[:-1], self.marks.get(text[-1:]))
+        if mark is None or not word.isalpha():
+            return None
+        if lead and mark and (ids := self.get(word)) is not None:
+            return ids + mark
+        as_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+        ids = array("I", [t.id for t in self.tokenize(lead + as_bytes)]).tobytes()
+        if lead:
+            self[word] = ids
+        return ids + mark
+
     def learn(self, units: set[str]) -> None:
-        """Encode the unknown ones in one call; a mark behind a word of letters is a pre-token of its own."""
-        units = [u for u in units if u not in self]
-        words, marked = set(), []
+        """Encode unknown units. What the pattern surely takes apart goes to the model a pre-token at a time: words of
+        letters, a mark behind one, one line break between two of them; other units are encoded as they are."""
+        if len(self) + 2 * len(units) > REMEMBERED:
+            self.clear()
+        odd = []
         for u in units:
-            if u[-1:] in MARKS and u[:-1].isalpha():
-                marked.append(u)
-                words.add(u[:-1])
+            ids = self._letters(u, "\u0120")
+            if ids is None:
+                left, line, right = u.partition("\n")
+                if line and left and right and (b := self._letters(right, "")) is not None and (a := self.get(left) or self._letters(left, "\u0120")) is not None:
+                    ids = a + self.line + b
+            if ids is None:
+                odd.append(u)
             else:
-                words.add(u)
-        words = [u for u in words if u not in self]
-        if len(self) + len(units) + len(words) > REMEMBERED:
-            self.clear()
-            words = list({*words, *(u[:-1] for u in marked)})
-        plain = [u for u in words if u.isalpha()]
-        odd = [u for u in words if not u.isalpha()]
+                self[u] = ids
         for at in range(0, len(odd), 4096):
             some = odd[at : at + 4096]
             for u, e in zip(some, self.tokenizer.encode_batch_fast([" " + u for u in some], add_special_tokens=False), strict=True):
                 self[u] = array("I", e.ids).tobytes()
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            raw = array("I", self.by_word.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids)
-            cuts = (np.flatnonzero(self.opens[np.frombuffer(raw, dtype="<u4")]) * 4).tolist()
-            raw = raw.tobytes()
-            for u, a, b in zip(some, cuts, [*cuts[1:], len(raw)], strict=True):
-                self[u] = raw[a:b]
-        for u in marked:
-            self[u] = self[u[:-1]] + self.marks[u[-1]]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         out: list = []
         unknown: set[str] = set()
+        known = self.__contains__
         for text in texts:
             units = text.split(" ")
             if len(units) == 1 or not self.by_unit or " " in (text[0], text[-1]) or any(" " in m for m in _BESIDE.findall(text)):
                 out.append(text)
                 continue
-            unknown.update(islice(units, 1, None))
+            unknown.update(filterfalse(known, islice(units, 1, None)))
             out.append(units)
         if unknown:
             self.learn(unknown)
