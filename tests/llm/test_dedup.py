@@ -240,7 +240,7 @@ def test_decontamination_edges(odd_docs, no_docs, spark):
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f g h y"), (2, "a z b q q q a")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "A b c d e f g h")], "item_id long, text string")
-    assert [tuple(r) for r in decontaminate.phrase_matches(docs, items).collect()] == [(1, 7, 1, 8)]
+    assert [tuple(r) for r in decontaminate.phrase_matches(docs, items).collect()] == [(1, "7", 1, 8)]
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
     got = sorted(tuple(r) for r in decontaminate.proximity_matches(docs, pairs, 2).collect())
     assert got == [(1, "a", "b", 1, 2), (2, "a", "b", 0, 2)]
