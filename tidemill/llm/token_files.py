@@ -38,7 +38,7 @@ class Writer:
 
     def __init__(self, out, frame_ids: int = FRAME_IDS):
         self.out, self.frame_ids = out, frame_ids
-        self.packer = zstandard.ZstdCompressor(level=3)
+        self.packer = zstandard.ZstdCompressor(level=1)
         self.waiting = bytearray()
         self.table: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int, int]] = []

@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import filterfalse, islice
+from operator import attrgetter
 
 import numpy as np
 
@@ -19,6 +19,7 @@ MARKS = (".", ",", ";", ":", "!", "?")
 # The character that stands for each byte in a byte-level vocabulary.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LEVEL = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_ID = attrgetter("id")
 _BESIDE = re.compile(r"\s\s")
 _MADE: dict[str, "Encoder"] = {}
 
@@ -66,7 +67,7 @@ class Encoder(dict):
         if lead and mark and (ids := self.get(word)) is not None:
             return ids + mark
         as_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
-        ids = array("I", [t.id for t in self.tokenize(lead + as_bytes)]).tobytes()
+        ids = array("I", map(_ID, self.tokenize(lead + as_bytes))).tobytes()
         if lead:
             self[word] = ids
         return ids + mark
@@ -95,22 +96,29 @@ class Encoder(dict):
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         out: list = []
+        waiting: list[tuple[int, list, list[int]]] = []
         unknown: set[str] = set()
-        known = self.__contains__
         for text in texts:
             units = text.split(" ")
             if len(units) == 1 or not self.by_unit or " " in (text[0], text[-1]) or any(" " in m for m in _BESIDE.findall(text)):
-                out.append(text)
+                out.append(self.whole(text) if text else b"")
                 continue
-            unknown.update(filterfalse(known, islice(units, 1, None)))
-            out.append(units)
+            found = list(map(self.get, units))
+            found[0] = self.whole(units[0])
+            if None in found:
+                gaps = [i for i, x in enumerate(found) if x is None]
+                unknown.update([units[i] for i in gaps])
+                waiting.append((len(out), found, gaps))
+                out.append(units)
+            else:
+                out.append(b"".join(found))
         if unknown:
             self.learn(unknown)
-        for i, x in enumerate(out):
-            if isinstance(x, str):
-                out[i] = self.whole(x) if x else b""
-            else:
-                out[i] = self.whole(x[0]) + b"".join(map(self.__getitem__, islice(x, 1, None)))
+        for at, found, gaps in waiting:
+            units = out[at]
+            for i in gaps:
+                found[i] = self[units[i]]
+            out[at] = b"".join(found)
         return out
 
     def encode(self, text: str) -> bytes:
