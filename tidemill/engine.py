@@ -129,7 +129,7 @@ class Engine:
     def run(self, graph: Graph) -> Run:
         """Each call is a new run. All terminals share what they have in common."""
         document = graph.document
-        self.check_known(graph)
+        self.check(graph)
         run = Run(document.fingerprint)
         self.cached = []
         done: dict[int, Any] = {}
@@ -145,11 +145,6 @@ class Engine:
                 df.unpersist()
         return run
 
-    def check_known(self, graph: Graph) -> None:
-        local = {n.kind for n in graph.nodes()} <= {*vocabulary.SOURCES, *vocabulary.FLOWS, *vocabulary.FAN_IN, *vocabulary.FAN_OUT, *vocabulary.SINKS}
-        if local:
-            self.check(graph)
-
     @staticmethod
     def _fail(s: Stream) -> None:
         """The first failure that reached the end."""
