@@ -14,7 +14,7 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Units remembered in a worker, a bound on its memory.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 MARKS = (".", ",", ";", ":", "!", "?")
 # The character that stands for each byte in a byte-level vocabulary.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
