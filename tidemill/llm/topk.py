@@ -13,7 +13,7 @@ from . import common
 
 #: Vectors in a block, and reference vectors in the pivot table.
 BLOCK = 1024
-PIVOTS = 32
+PIVOTS = 8
 PACKED = "block long, dim int, ids binary, vectors binary"
 
 
@@ -40,39 +40,62 @@ def packed(rows: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block", "dim").applyInArrow(pack, PACKED)
 
 
+NONE = np.iinfo(np.int64).min
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each query's best k rows of one block: their ids and scores.
 
     |q - x| >= max over pivots of |d(q, p) - d(x, p)|, so q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 has an upper bound
-    from the pivot table alone. Rows are evaluated in the order of that bound until the next bound lies below the
-    k-th best score, which is exact; equal bounds are still evaluated, for ties go to the smaller id."""
+    from the pivot table alone. The rows with the greatest bounds are evaluated first; then, of the others, those whose
+    bound is not below the k-th best score so far. The rest can't be among the best. Equal bounds are still
+    evaluated, for ties go to the smaller id. All queries of the block go through each step together."""
+    m, n = len(queries), len(rows)
     q, x, p = queries.astype(np.float64), rows.astype(np.float64), pivots.astype(np.float64)
     qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
 
     def to_pivots(a: np.ndarray, aa: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(aa[:, None] + (p * p).sum(axis=1) - 2 * a @ p.T, 0))
+        return np.sqrt(np.maximum(aa[:, None] + (p * p).sum(axis=1) - 2 * a @ p.T, 0)).astype(np.float32)
 
     dq, dx = to_pivots(q, qq), to_pivots(x, xx)
-    low = np.zeros((len(q), len(x)))
+    low, gap = np.zeros((m, n), dtype=np.float32), np.empty((m, n), dtype=np.float32)
     for j in range(len(p)):
-        np.maximum(low, np.abs(dq[:, j, None] - dx[None, :, j]), out=low)
-    bound = (qq[:, None] + xx[None, :] - low * low) / 2
-    bound += 1 + np.abs(bound) * 1e-9  # more than the rounding of the square roots
-    out = []
-    for i in range(len(q)):
-        order = np.argsort(-bound[i], kind="stable")
-        order = order[row_ids[order] != query_ids[i]]
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        at, step = 0, max(4 * k, 64)
-        while at < len(order) and (len(scores) < k or bound[i, order[at]] >= scores[-1]):
-            some = order[at : at + step]
-            ids = np.concatenate((ids, row_ids[some]))
-            scores = np.concatenate((scores, rows[some] @ queries[i]))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            at += step
-        out.append((ids, scores))
-    return out
+        np.subtract(dq[:, j, None], dx[None, :, j], out=gap)
+        np.maximum(low, np.abs(gap, out=gap), out=low)
+    norms = (qq[:, None] + xx[None, :]).astype(np.float32)
+    bound = norms * np.float32(0.50001) + np.float32(1) - low * low / 2  # more than single precision rounds
+    bound[row_ids[None, :] == query_ids[:, None]] = -np.inf
+    in_floats = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**53
+    none = -np.inf if in_floats else NONE
+
+    def evaluate(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), dtype=np.float64 if in_floats else np.int64)
+        for at in range(0, len(i), 1024):  # small pieces stay in cache
+            a, b = i[at : at + 1024], j[at : at + 1024]
+            out[at : at + 1024] = np.einsum("ij,ij->i", q[a], x[b]) if in_floats else (queries[a] * rows[b]).sum(axis=1)
+        return out
+
+    first = min(n, 2 * k)
+    best = np.argpartition(bound, n - first, axis=1)[:, n - first :]
+    i = np.repeat(np.arange(m), first)
+    tried = np.where(np.isneginf(bound[i, best.ravel()]), none, evaluate(i, best.ravel())).reshape(m, first)
+    least = np.sort(tried, axis=1)[:, first - k] if first >= k else np.full(m, none)
+    left = (bound >= least[:, None].astype(np.float32) * np.where(least[:, None] > 0, np.float32(1 - 1e-6), np.float32(1 + 1e-6))) & (bound > -np.inf)
+    np.put_along_axis(left, best, False, axis=1)
+    count = int(left.sum())
+    if in_floats and count > m * n // 16:
+        score = np.where(left, q @ x.T, none)
+    else:
+        score = np.full((m, n), none, dtype=np.float64 if in_floats else np.int64)
+        i, j = np.nonzero(left)
+        score[i, j] = evaluate(i, j)
+    np.put_along_axis(score, best, tried, axis=1)
+    least = np.partition(score, n - k, axis=1)[:, n - k] if n >= k else np.full(m, none)
+    i, j = np.nonzero((score >= least[:, None]) & (score > none))
+    order = np.lexsort((row_ids[j], -score[i, j], i))
+    i, j = i[order], j[order]
+    cuts = np.searchsorted(i, np.arange(m + 1))
+    return [(row_ids[j[a : min(a + k, b)]], score[r, j[a : min(a + k, b)]].astype(np.int64)) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
