@@ -98,6 +98,25 @@ def test_odd_sketches_estimate_similarity(spark):
             assert abs((count.sum() - t) / 2 / count.max() - true) < 0.08 or share == 0.5
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_keep_pairs_at_the_threshold(spark, percent):
+    """Of random pairs with the least similarity that counts, the sketches rule out next to none, at any set size."""
+    rng = np.random.default_rng(percent)
+    rows, each = [], 1500
+    for union in (40, 60, 100, 200, 300, 500, 1000):
+        common_ = -(-percent * union // 100)
+        for _ in range(each):
+            x = np.unique(hashing.mixed(rng.integers(0, 2**63, union, dtype=np.uint64)))
+            rng.shuffle(x)
+            cut = int(rng.integers(common_, union + 1))
+            a, b = np.sort(x[:cut]), np.sort(np.concatenate((x[:common_], x[cut:])))
+            s, count = neardup.odd_sketches([a, b])
+            rows.append((union, len(a), len(b), s[0].tolist(), s[1].tolist(), int(count[0]), int(count[1])))
+    pairs = spark.createDataFrame(rows, "u int, a_n long, b_n long, a_sketch array<long>, b_sketch array<long>, a_samples int, b_samples int")
+    lost = {r["u"]: r["count"] for r in pairs.where(~neardup.may_be_similar("a_", "b_", percent / 100)).groupBy("u").count().collect()}
+    assert sum(lost.values()) <= 2, lost
+
+
 # suffixes
 
 

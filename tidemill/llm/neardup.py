@@ -20,7 +20,7 @@ SKETCH_LONGS = 32
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-6
 #: Standard errors below the threshold at which a sketch's estimate rules a pair out.
-SLACK = 3.7
+SLACK = 4.5
 _RNG = np.random.default_rng(99)
 _WORD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 SIGNATURE = "doc long, th int, doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, samples int"
@@ -104,17 +104,20 @@ def may_be_similar(a: str, b: str, threshold: float) -> Column:
 
     With t bits flipped apart, m = (samples_a + samples_b - t) / 2 bins agree. At the threshold the union of both sets
     has u = (n_a + n_b) / (1 + threshold) shingles, which fill about SAMPLES * (1 - exp(-u / SAMPLES)) bins, and the
-    threshold's share of these agree. m must lie SLACK standard errors below that to rule a pair out."""
+    threshold's share of these agree. m must lie SLACK standard errors below that to rule a pair out. It varies with the
+    sampling, with the number of bins that are filled, and with flips of one bit that cancel out."""
     bits = 64.0 * SKETCH_LONGS
     apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
     t = -bits / 2 * F.log(F.greatest(1 - 2 * apart / bits, F.lit(1e-9)))
     m = (F.col(f"{a}samples") + F.col(f"{b}samples") - t) / 2
     union = (F.col(f"{a}n") + F.col(f"{b}n")) / (1 + threshold)
-    filled = SAMPLES * (1 - F.exp(-union / SAMPLES))
+    empty = F.exp(-union / SAMPLES)
+    filled = SAMPLES * (1 - empty)
+    spread = threshold**2 * SAMPLES * empty * (1 - (1 + union / SAMPLES) * empty)
     chance = filled * threshold * (1 - threshold) * (1 - filled / union)  # a small set is sampled almost whole
     flips = t * t / (2 * bits) + 0.25  # bits that were flipped more than once
     sizes = F.least(f"{a}n", f"{b}n") >= threshold * F.greatest(f"{a}n", f"{b}n") - 1e-6
-    return sizes & (m >= threshold * filled - SLACK * F.sqrt(chance + flips))
+    return sizes & (m >= threshold * filled - SLACK * F.sqrt(chance + spread + flips))
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
