@@ -27,9 +27,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the least doc_id, of each group of near duplicates: five words, similarity 0.8."""
-    kept = neardup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return keyed(docs).join(keyed(kept).select("key"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    """Keeps one document, that with the least doc_id, of each group of near duplicates: five words, similarity 0.8.
+
+    Every row is a node of its own, so rows without an id, or that repeat one with another text, stay unless they are near
+    copies. A null id sorts first; of equal ids the text with the least hash is kept."""
+    rows = common.stored(keyed(docs.select(*COLUMNS)).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    order = rows.select("row", F.struct("key", F.xxhash64("text").alias("hash"), "row").alias("place"))
+    least = found.join(order, "row").groupBy("component_id").agg(F.min("place").alias("least")).select("least.row")
+    return rows.join(least, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,17 @@ def test_sketches_keep_pairs_at_the_threshold(spark, percent):
     assert sum(lost.values()) <= 2, lost
 
 
+def test_pipeline_drops_only_near_copies(spark):
+    """Rows without an id, and rows that repeat one with another text, are documents of their own."""
+    import corpus_pipeline
+
+    texts = {x: " ".join(f"{x}{i}" for i in range(80)) for x in "abcde"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (1, texts["a"] + " more"), (2, texts["b"]), (3, texts["c"]), (3, texts["d"]), (3, texts["d"]), (4, texts["d"]), (9, texts["e"]), (8, texts["e"])]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter([(None, texts["a"]), (None, texts["b"]), (3, texts["c"]), (3, texts["d"]), (8, texts["e"])])
+
+
 # suffixes
 
 
