@@ -63,6 +63,21 @@ def test_top_k_against_all_products(spark, block):
     assert {k: sorted(x) for k, x in found.items()} == want
 
 
+@pytest.mark.parametrize("big", [1e8, 3e11, 1e15])
+def test_top_k_keeps_vectors_with_large_components(spark, big):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(60)]
+    rows += [(60, [big, -big] + [0.5] * 6), (61, [big, big] + [0.25] * 6)]
+    v = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found: dict = {}
+    for r in topk.top_k(v, v.where("vec_id % 20 = 0"), 5).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(i, [int(np.floor(64 * c)) for c in x]) for i, x in rows]
+    for q, x in whole[::20]:
+        s = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole if i != q)[:5]
+        assert sorted(found[q]) == [(r + 1, i, -n) for r, (n, i) in enumerate(s)]
+
+
 def test_top_k_of_nothing(spark):
     v = topk.scaled(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, v).count() == 0

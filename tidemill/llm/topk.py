@@ -19,9 +19,14 @@ PACKED = "block long, dim int, ids binary, vectors binary"
 
 def scaled(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id and v: floor(scale * x) of each component, as long. Vectors that are null, empty or hold null or
-    non-finite components take no part, nor do those whose components do not fit in 31 bits after scaling."""
-    x = F.transform(F.col("embedding"), lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    fits = F.forall(F.col("embedding"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < 2.0**31))
+    non-finite components take no part. A component that does not fit in a long after scaling fails the run."""
+
+    def whole(c):
+        y = F.lit(float(scale)) * c.cast("double")
+        return F.when((y >= -(2.0**63)) & (y < 2.0**63), F.floor(y)).otherwise(F.raise_error(F.lit("a scaled component does not fit in a long")).cast("long"))
+
+    x = F.transform(F.col("embedding"), whole)
+    fits = F.forall(F.col("embedding"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     good = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(fits, F.lit(False)))
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<long>").alias("v"))
 
@@ -43,6 +48,20 @@ def packed(rows: DataFrame, blocks: int) -> DataFrame:
 NONE = np.iinfo(np.int64).min
 
 
+def search_wide(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As `search`, all pairs evaluated: in Python's integers where a product might not fit in a long. A score among the
+    best that does not fit itself fails the run."""
+    score = (queries @ rows.T).astype(object)
+    peaks = [np.abs(a.astype(np.float64)).max(axis=1, initial=0) for a in (queries, rows)]
+    for i, j in zip(*np.nonzero(np.outer(*peaks) * queries.shape[1] >= 2.0**62), strict=True):
+        score[i, j] = sum(a * b for a, b in zip(queries[i].tolist(), rows[j].tolist(), strict=True))
+    out = []
+    for i, own in enumerate(query_ids):
+        best = sorted((-s, d) for s, d in zip(score[i], row_ids.tolist(), strict=True) if d != own)[:k]
+        out.append((np.array([d for _, d in best], dtype=np.int64), np.array([-s for s, _ in best], dtype=np.int64)))
+    return out
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each query's best k rows of one block: their ids and scores.
 
@@ -51,6 +70,9 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
     bound is not below the k-th best score so far. The rest can't be among the best. Equal bounds are still
     evaluated, for ties go to the smaller id. All queries of the block go through each step together."""
     m, n = len(queries), len(rows)
+    peak = [max(1.0, float(np.abs(a.astype(np.float64)).max(initial=0))) for a in (queries, rows)]
+    if peak[0] * peak[1] * queries.shape[1] >= 2.0**62:
+        return search_wide(queries, query_ids, rows, row_ids, k)
     q, x, p = queries.astype(np.float64), rows.astype(np.float64), pivots.astype(np.float64)
     qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
 
@@ -61,7 +83,9 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
     low, gap = np.zeros((m, n), dtype=np.float32), np.empty((m, n), dtype=np.float32)
     for j in range(len(p)):
         np.subtract(dq[:, j, None], dx[None, :, j], out=gap)
-        np.maximum(low, np.abs(gap, out=gap), out=low)
+        np.abs(gap, out=gap)
+        gap -= np.float32(2.0**-22) * (dq[:, j].max(initial=0) + dx[:, j].max(initial=0))  # rounding, much where a pivot is far
+        np.maximum(low, gap, out=low)
     norms = (qq[:, None] + xx[None, :]).astype(np.float32)
     bound = norms * np.float32(0.50001) + np.float32(1) - low * low / 2  # more than single precision rounds
     bound[row_ids[None, :] == query_ids[:, None]] = -np.inf
