@@ -157,3 +157,16 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
     from tidemill.llm import decontaminate
 
     assert decontaminate.decontaminate(docs, bench).where("n_items > 0").count() == 0
+
+
+def test_chat_shares_turns_however_deep(spark):
+    said = {c: [(t, f"turn {t}") for t in range(20)] for c in (1, 2, 3, 4)}
+    for c in (2, 4):
+        said[c][16:] = [(t, f"turn {t} of others") for t in range(16, 20)]
+    rows = [(c, t, "user", x) for c, turns in said.items() for t, x in turns]
+    got = chat.chat_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    assert sum(len(r.leaves) for r in got) == 4
+    for r in got:
+        turns = [(n.parent, r.text[n.start : n.end]) for n in r.nodes]
+        assert len(set(turns)) == len(turns)
+    assert any(len(r.leaves) > 2 for r in got)

@@ -16,8 +16,8 @@ from . import tokens
 START, END = "<|im_start|>", "<|im_end|>"
 #: Code points of formatted text after which a new sequence begins; a single conversation may be longer.
 SEQUENCE_CHARS = 200_000
-#: Deepest shared prefix in the order that conversations are dealt by.
-SORTED_TURNS = 16
+#: Turns that conversations are dealt to tasks by; inside a task all turns count.
+DEALT_TURNS = 16
 
 NODE = "struct<parent: int, start: int, end: int, position: int, loss_start: int, loss_end: int, token_start: int, token_end: int, token_position: int, ancestors: array<struct<start: int, end: int>>>"
 SEQUENCE = f"sequence_id long, text string, token_ids array<int>, nodes array<{NODE}>, leaves array<struct<conv_id: bigint, node: int>>"
@@ -58,16 +58,17 @@ def chat_trees(conversations: DataFrame, sequence_chars: int = SEQUENCE_CHARS, t
 
     Conversations are put together by conv_id, in order of turn, role, text; a null role or text is empty; a row
     that is repeated is a turn that is repeated; a null conv_id is one conversation. They are dealt to tasks by ranges
-    of their turns' hashes and then conv_id, so a first turn that very many share, or a conversation with very many
-    copies, spreads over tasks and is emitted once in each sequence. Sequences are cut at sequence_chars.
+    of their first turns' hashes and then conv_id, and put in order there by the hashes of all turns, so a first turn
+    that very many share, or a conversation with very many copies, spreads over tasks and is emitted once in each
+    sequence. Sequences are cut at sequence_chars.
     An empty table gives no sequence. Other columns are ignored."""
     path = tokens.tokenizer_path(tokenizer)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    keys = [F.xxhash64(F.try_element_at("turns", F.lit(i + 1))["role"], F.try_element_at("turns", F.lit(i + 1))["text"]).alias(f"h{i}") for i in range(SORTED_TURNS)]
-    names = [f"h{i}" for i in range(SORTED_TURNS)]
-    keyed = whole.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"), *keys)
-    dealt = keyed.repartitionByRange(*names, "conv_id").sortWithinPartitions(*names, "conv_id").select("conv_id", "roles", "texts")
+    keys = [F.xxhash64(F.try_element_at("turns", F.lit(i + 1))["role"], F.try_element_at("turns", F.lit(i + 1))["text"]).alias(f"h{i}") for i in range(DEALT_TURNS)]
+    names = [f"h{i}" for i in range(DEALT_TURNS)]
+    keyed = whole.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"), F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])).alias("hashes"), *keys)
+    dealt = keyed.repartitionByRange(*names, "conv_id").sortWithinPartitions("hashes", "conv_id").select("conv_id", "roles", "texts")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = tokens.encoder(path)
