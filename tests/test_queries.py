@@ -38,3 +38,9 @@ def test_entry_without_the_training_data_operators():
 
     assert set(Q.queries()) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_timeout_then_take_ends_at_a_silence(spark, tmp_path):
+    at = [0, 60, 120, 120 + 7199, 120 + 7199 + 7200, 20000]
+    spark.createDataFrame([(i, t) for i, t in enumerate(at)], "event_id long, s long").selectExpr("event_id", "timestamp_seconds(s) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.event_id for r in Q.queries()["timeout_then_take"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
