@@ -83,14 +83,25 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(v, v).count() == 0
 
 
+def packed_block(x, ids, pivots):
+    d = topk.to_pivots(x, pivots)
+    norm = float((x.astype(float) ** 2).sum(axis=1).max())
+    return topk.Block(x.shape[1], ids.astype("<i8").tobytes(), x.astype("<i8").tobytes(), d.tobytes(), d.min(axis=0).tobytes(), d.max(axis=0).tobytes(), norm, False)
+
+
 def test_pivots_spare_candidates_and_change_nothing():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.integers(-3, 4, (300, 16)) + c for c in rng.integers(-60, 60, (6, 16))])
     ids = np.arange(len(x))
-    a = topk.search(x[:10], ids[:10], x, ids, x[::97], 5)
-    b = topk.search(x[:10], ids[:10], x, ids, x[:0], 5)
-    for (i, s), (j, t) in zip(a, b, strict=True):
-        assert i.tolist() == j.tolist() and s.tolist() == t.tolist()
+    found = []
+    for pivots in (topk.spread_out(x, 12), np.zeros((0, 16))):
+        s = topk.Search(packed_block(x[:10], ids[:10], pivots), 5)
+        s.visit([packed_block(x[a : a + 100], ids[a : a + 100], pivots) for a in range(0, len(x), 100)])
+        found.append(s)
+    assert (found[0].scores == found[1].scores).all() and (found[0].ids == found[1].ids).all()
+    assert found[0].evaluated < found[1].evaluated / 3
+    want = np.sort(np.where(ids[None] == ids[:10, None], topk.NONE, x[:10] @ x.T), axis=1)[:, :-6:-1]
+    assert (found[0].scores == want).all()
 
 
 NASTY = queries.CONTROL
