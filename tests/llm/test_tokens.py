@@ -16,7 +16,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
@@ -132,7 +131,6 @@ def test_token_counts_against_offsets(odd_docs, sample, rule, separator):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
     docs = sample.limit(20).selectExpr("doc_id + 1000 AS doc_id", "text").union(odd_docs.where("doc_id IN (4, 5, 6, 11, 12, 13)").select("doc_id", "text"))
     got = token_counts.token_counts(docs, rule, separator=separator).toPandas()
     for r in docs.collect():

@@ -59,11 +59,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def cut(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
+def cut(docs: DataFrame, capacity: int, path: str, end_id: int, remembered: int) -> DataFrame:
     """The pieces of each document with their lengths, and for each its task's number and its place among the task's pieces of that length."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = tokens.encoder(path)
+        code = tokens.encoder(path, remembered)
         end = np.array([end_id], dtype="<u4").tobytes()
         block = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
@@ -85,7 +85,7 @@ def cut(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
     return chosen.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, block long, place long")
 
 
-def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 2, remembered: int = tokens.REMEMBERED) -> DataFrame:
     """Pack every document's ids, with end_id behind them, into as few sequences of at most capacity ids as best-fit finds.
 
     Only documents longer than capacity are cut; the first piece takes the remainder and may be shorter.
@@ -97,11 +97,12 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
     length, so that no length, however common, meets in one task.
 
     A null or empty text is the one id end_id. Repeated rows are packed each for itself; a null doc_id stays null.
-    An empty table gives no rows. Columns besides doc_id and text are ignored."""
+    An empty table gives no rows. Columns besides doc_id and text are ignored. `remembered` bounds the units whose ids a
+    worker holds; it changes memory and time only."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    found = common.stored(cut(docs, capacity, tokens.tokenizer_path(tokenizer), end_id), "pieces")
-    by_block = found.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n"))
+    found = common.stored(cut(docs, capacity, tokens.tokenizer_path(tokenizer), end_id, remembered), "pieces")
+    by_block = common.stored(found.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_block.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = plan(counts, capacity)
     span = np.array([(s[0] << 44) + s[1] for s in slots], dtype=np.int64)  # sorted: lengths descend, so sort anew
@@ -109,7 +110,10 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
     order = np.argsort(span, kind="stable")
     span, table = span[order], table[order]
     earlier = by_block.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    earlier = earlier.select("block", "length", F.coalesce("before", F.lit(0)).alias("before"))
+    earlier = common.stored(earlier.select("block", "length", F.coalesce("before", F.lit(0)).alias("before")), "earlier")
+    common.discard(by_block)
+    if common.bytes_of(earlier) <= common.BROADCAST_BYTES // 4:  # a row for each task and length; else it is joined
+        earlier = F.broadcast(earlier)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

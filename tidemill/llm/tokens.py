@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, a unit between spaces at a time and remembered.
 
 The byte-level pre-tokenizer never joins what stands on both sides of a single space, so a text may be cut before each
-such space and the parts encoded alone. A text with a space beside other white space is encoded whole."""
+such space and the parts encoded alone. A text with a space beside other white space, or with the string of an added
+token, is encoded whole: ids are always those of the library's plain call."""
 
 from __future__ import annotations
 
@@ -13,14 +14,17 @@ from operator import attrgetter
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Units remembered in a worker, a bound on its memory.
-REMEMBERED = 1_000_000
+#: Units remembered in a worker, a bound on its memory: 100 to 200 bytes each.
+REMEMBERED = 700_000
+#: Letters up to this code point are known to be told from other characters as the library tells them; see Encoder.alike.
+LAST_LETTER = 0x24F
 MARKS = (".", ",", ";", ":", "!", "?")
 # The character that stands for each byte in a byte-level vocabulary.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LEVEL = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _ID = attrgetter("id")
-_BESIDE = re.compile(r"\s\s")
+_BESIDE = re.compile(r" \s|\s ")
+_LAST = chr(LAST_LETTER)
 _MADE: dict[str, "Encoder"] = {}
 
 
@@ -41,9 +45,11 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = str(self.tokenizer.pre_tokenizer)
         self.by_unit = self.tokenizer.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
+        self.plain = self.by_unit and self.alike()
+        self.remembered = REMEMBERED
         self.tokenize = self.tokenizer.model.tokenize
         self.line = self.whole("\n")
         self.marks = {m: self.whole(m) for m in MARKS}
@@ -52,9 +58,16 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def alike(self) -> bool:
+        """Whether the library's pattern takes for letters what Python does, up to LAST_LETTER, and parts marks and a line
+        break from words. Where not, every unit is encoded by the library as it is."""
+        parts = lambda t: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(t))
+        letters = all((parts(f"a{chr(c)}a") == 1) == chr(c).isalpha() for c in range(1, LAST_LETTER + 1))
+        return letters and all(parts(f" a{m}") == 2 for m in MARKS) and parts(" a\nb") == 3
+
     def __missing__(self, unit: str) -> bytes:
         ids = self.whole(" " + unit)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         self[unit] = ids
         return ids
@@ -62,7 +75,7 @@ class Encoder(dict):
     def _letters(self, text: str, lead: str) -> bytes | None:
         """The ids of a word of letters, or of one with a mark behind it, which is a pre-token of its own."""
         word, mark = (text, b"") if text.isalpha() else (text[:-1], self.marks.get(text[-1:]))
-        if mark is None or not word.isalpha():
+        if mark is None or not word.isalpha() or not self.plain or not (word.isascii() or max(word) <= _LAST):
             return None
         if lead and mark and (ids := self.get(word)) is not None:
             return ids + mark
@@ -75,7 +88,7 @@ class Encoder(dict):
     def learn(self, units: set[str]) -> None:
         """Encode unknown units. What the pattern surely takes apart goes to the model a pre-token at a time: words of
         letters, a mark behind one, one line break between two of them; other units are encoded as they are."""
-        if len(self) + 2 * len(units) > REMEMBERED:
+        if len(self) + 2 * len(units) > self.remembered:
             self.clear()
         odd = []
         for u in units:
@@ -100,7 +113,7 @@ class Encoder(dict):
         unknown: set[str] = set()
         for text in texts:
             units = text.split(" ")
-            if len(units) == 1 or not self.by_unit or " " in (text[0], text[-1]) or any(" " in m for m in _BESIDE.findall(text)):
+            if len(units) == 1 or not self.by_unit or " " in (text[0], text[-1]) or _BESIDE.search(text) or any(a in text for a in self.added):
                 out.append(self.whole(text) if text else b"")
                 continue
             found = list(map(self.get, units))
@@ -136,8 +149,9 @@ class Encoder(dict):
         return self._sizes
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder in a worker for each vocabulary."""
     if path not in _MADE:
         _MADE[path] = Encoder(path)
+    _MADE[path].remembered = remembered
     return _MADE[path]
