@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,8 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside joins; it sorts before every other id.
+#: Stands for a null doc_id inside joins; it sorts before every other id and is no id of a document itself.
 NULL_ID = -(2**63)
+#: Bytes of an Arrow batch that goes to or comes from a Python worker: what bounds a worker's memory where rows are long.
+BATCH_BYTES = 4 << 20
+#: Bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,7 +32,14 @@ def scratch_root(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of the session by BATCH_BYTES, unless it has a bound other than Spark's own of 64 MB."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
+    bound_batches(spark)
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -54,7 +67,7 @@ def doc_keys(docs: DataFrame) -> DataFrame:
     Other columns are left behind, so clashing names in the input do no harm."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.hash(F.col("text").cast("string")).alias("th"),
+        F.xxhash64(F.col("text").cast("string")).alias("th"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
@@ -66,11 +79,27 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what a task derives from them stays small."""
+    """The same rows in small batches, so that what a task derives from them stays small; frees memory at the end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The stored size of a table that `stored` made."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def ascii_lower(c: Column) -> Column:

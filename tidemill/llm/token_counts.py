@@ -50,6 +50,7 @@ def token_counts(docs: DataFrame, rule: str = "first", tokenizer: str | None = N
         raise ValueError(f"rule must be one of {RULES}")
     if len(separator) != 1 or not separator.isascii():
         raise ValueError("separator must be one ASCII character")
+    common.bound_batches(docs.sparkSession)
     mark = ord(separator)
     path = tokens.tokenizer_path(tokenizer)
 
