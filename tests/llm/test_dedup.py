@@ -90,7 +90,7 @@ def test_odd_sketches_estimate_similarity(spark):
         for share in (0.5, 0.85, 0.95, 1.0):
             both = hashing.mixed(rng.integers(0, 2**63, int(2 * n * share / (1 + share)), dtype=np.uint64))
             a, b = (np.unique(np.concatenate((both, hashing.mixed(rng.integers(0, 2**63, n - len(both), dtype=np.uint64))))) for _ in range(2))
-            s, count = neardup.odd_sketches([a, b])
+            s, count, _ = neardup.odd_sketches([a, b])
             bits = 64 * neardup.SKETCH_LONGS
             apart = int(np.unpackbits((s[0] ^ s[1]).view(np.uint8)).sum())
             t = -bits / 2 * np.log(max(1 - 2 * apart / bits, 1e-9))
@@ -103,16 +103,16 @@ def test_sketches_keep_pairs_at_the_threshold(spark, percent):
     """Of random pairs with the least similarity that counts, the sketches rule out next to none, at any set size."""
     rng = np.random.default_rng(percent)
     rows, each = [], 1500
-    for union in (40, 60, 100, 200, 300, 500, 1000):
+    for union in (40, 60, 100, 200, 300, 500, 1000, 1600, 3000):
         common_ = -(-percent * union // 100)
         for _ in range(each):
             x = np.unique(hashing.mixed(rng.integers(0, 2**63, union, dtype=np.uint64)))
             rng.shuffle(x)
             cut = int(rng.integers(common_, union + 1))
             a, b = np.sort(x[:cut]), np.sort(np.concatenate((x[:common_], x[cut:])))
-            s, count = neardup.odd_sketches([a, b])
-            rows.append((union, len(a), len(b), s[0].tolist(), s[1].tolist(), int(count[0]), int(count[1])))
-    pairs = spark.createDataFrame(rows, "u int, a_n long, b_n long, a_sketch array<long>, b_sketch array<long>, a_samples int, b_samples int")
+            s, count, whole = neardup.odd_sketches([a, b])
+            rows.append((union, len(a), len(b), s[0].tolist(), s[1].tolist(), int(count[0]), int(count[1]), *(None if w is None else w.tolist() for w in whole)))
+    pairs = spark.createDataFrame(rows, "u int, a_n long, b_n long, a_sketch array<long>, b_sketch array<long>, a_samples int, b_samples int, a_whole array<long>, b_whole array<long>")
     lost = {r["u"]: r["count"] for r in pairs.where(~neardup.may_be_similar("a_", "b_", percent / 100)).groupBy("u").count().collect()}
     assert sum(lost.values()) <= 2, lost
 

@@ -72,7 +72,7 @@ def zone_rows(keyed: DataFrame, read: Reader, window: int, gram: int) -> DataFra
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["k", "u", "doc", "th", "lo"])
 
-    return keyed.select("doc", "th", "text").mapInArrow(rows, "k long, u long, doc long, th int, lo long")
+    return keyed.select("doc", "th", "text").mapInArrow(rows, "k long, u long, doc long, th long, lo long")
 
 
 def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool, list[DataFrame]]:
@@ -151,8 +151,8 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
     flags, any_hot, used = decide(zone_rows(keyed, read, window, gram), earlier)
     names = result.names
     strip = max(1, min(STRIP, window // 2))
-    base = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("doc_id", pa.int64()), ("text", pa.binary()), ("waits", pa.bool_()), ("sends", pa.bool_()), ("los", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("s", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), *result])
-    ddl = f"doc long, th int, doc_id long, text binary, waits boolean, sends boolean, los array<long>, kinds array<int>, s array<long>, e array<long>, {result_ddl}"
+    base = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("waits", pa.bool_()), ("sends", pa.bool_()), ("los", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("s", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), *result])
+    ddl = f"doc long, th long, doc_id long, text binary, waits boolean, sends boolean, los array<long>, kinds array<int>, s array<long>, e array<long>, {result_ddl}"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
@@ -205,7 +205,7 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
                 for c, x in zip(out, (np.uint64(k).view(np.int64), doc[i], th[i], lo - at, anchor - lo, kind == OPEN, kept[i][lo - at : hi - at + window].tobytes()), strict=True):
                     c.append(x)
             if out[0]:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "doc", "th", "lo", "head", "open", "body"])
 
     def send_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
                     e.append(lo[i] + edge[1::2] - 1)
                     row.append(np.full(len(edge) // 2, i))
             if not row:
-                return pa.RecordBatch.from_pydict({"doc": pa.array([], pa.int64()), "th": pa.array([], pa.int32()), "s": pa.array([], pa.int64()), "e": pa.array([], pa.int64())})
+                return pa.RecordBatch.from_pydict({"doc": pa.array([], pa.int64()), "th": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "e": pa.array([], pa.int64())})
             row = np.concatenate(row)
             return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(np.asarray(t.column("th"))[row]), pa.array(np.concatenate(s)), pa.array(np.concatenate(e))], names=["doc", "th", "s", "e"])
 
@@ -276,10 +276,10 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
             yield answer(held)
 
     sends = table.where("sends").select("doc", "th", "text", "los", "kinds")
-    zone = "key long, doc long, th int, lo long, head int, open boolean, body binary"
-    found = sends.mapInArrow(send, zone).repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, th int, s long, e long")
+    zone = "key long, doc long, th long, lo long, head int, open boolean, body binary"
+    found = sends.mapInArrow(send, zone).repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, th long, s long, e long")
     if any_hot:
-        strips = common.stored(sends.mapInArrow(send_hot, "h1 long, h2 long, doc long, th int, s long, e long, open boolean, core long, w1 array<long>, w2 array<long>"), "strips")
+        strips = common.stored(sends.mapInArrow(send_hot, "h1 long, h2 long, doc long, th long, s long, e long, open boolean, core long, w1 array<long>, w2 array<long>"), "strips")
         found = found.union(hot_spans(strips, earlier))
     spans = found.groupBy("doc", "th").agg(F.collect_list("s").alias("more_s"), F.collect_list("e").alias("more_e"))
     out = pa.schema([("doc_id", pa.int64()), *result])
