@@ -38,9 +38,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which `discard` or `clean` deletes."""
     bound_batches(spark)
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -53,12 +58,29 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if where in _SCRATCH:
+        _SCRATCH.remove(where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing will read again: all that was made of them is stored itself."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t.stored_at)
+
+
+def clean(spark: SparkSession, *keep: DataFrame, since: int = 0) -> None:
+    """Delete the scratch tables of this process but `keep`: for when results that read them are stored or used up.
+    since: leave the first so many; len(scratch_tables()) tells how many there are."""
+    kept = {t.stored_at for t in keep}
+    for where in [p for p in _SCRATCH[since:] if p not in kept]:
+        delete(spark, where)
+
+
+def scratch_tables() -> list[str]:
+    return list(_SCRATCH)
 
 
 def doc_keys(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,6 @@ from . import common
 
 #: Words of a window.
 WINDOW = 8
-#: Rows of a table derived from the benchmark up to which it is broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 500_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -19,9 +17,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(common.ascii_lower(text), F.lit("")), SEPARATORS), "")
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has so few rows (of fixed or short columns); its size is that of the benchmark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def if_small(df: DataFrame) -> DataFrame:
+    """df, made of the benchmark alone, with a broadcast hint if all its values are small enough together."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= common.BROADCAST_BYTES else df
 
 
 def items_of(benchmark: DataFrame, window: int) -> DataFrame:
@@ -80,13 +79,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     return found.select("doc_id", "doc", "th", "n_words"), hits.select("doc", "th", "item_id", (F.col("t") + F.col("diagonal")).alias("start"), "len")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2, with_hash: bool = False) -> DataFrame:
     """How much of each document stands in the benchmark.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Returns for
     each document doc_id, n_words, n_hit (words inside any occurrence of a window), n_items (item_ids with occurring
     windows), items_sha256 (lowercase hex of those item_ids, sorted as strings and comma-joined), contaminated
-    (n_items >= min_items).
+    (n_items >= min_items), and, if with_hash, text_hash (xxhash64 of the text), which tells rows apart that repeat a doc_id.
 
     Every window's two rarest words by corpus count have their postings stored; postings are shifted by the word's
     place in the item and intersected on (document, item, diagonal); what remains is compared word by word with
@@ -101,7 +100,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     by_doc = by_doc.select("doc", "th", F.expr(covered).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
     out = all_docs.join(by_doc, ["doc", "th"], "left")
     n_items = F.coalesce("n_items", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"), *[F.col("th").alias("text_hash")] * with_hash)
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -80,6 +80,9 @@ def cut(docs: DataFrame, capacity: int, path: str, end_id: int, remembered: int)
                     seen[size] += 1
                     at, piece = at + size, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
+        if remembered < tokens.REMEMBERED:
+            code.clear()
+            common.give_back()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, block long, place long")
@@ -98,7 +101,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
 
     A null or empty text is the one id end_id. Repeated rows are packed each for itself; a null doc_id stays null.
     An empty table gives no rows. Columns besides doc_id and text are ignored. `remembered` bounds the units whose ids a
-    worker holds; it changes memory and time only."""
+    worker holds, and below its default they are let go at the end of a task; it changes memory and time only."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     found = common.stored(cut(docs, capacity, tokens.tokenizer_path(tokenizer), end_id, remembered), "pieces")

@@ -3,7 +3,8 @@
 Window starts that share a minimizer anchor form a zone. Equal windows have equal anchors at equal offsets, so:
 
 1. Zones are counted by their anchor's gram. A zone whose gram stands nowhere else has no repeated window.
-2. Zones that agree in the hash of all their symbols repeat all their windows; one of each such set goes on.
+2. Zones that agree in two independent 64-bit hashes of all their symbols, beside that of the gram, repeat all their
+   windows; one of each such set goes on.
 3. What is left, the zones at the edges of copied stretches, is sent with its symbols to the task of its gram (the
    prefix that its suffixes run through), where the operator's own structure compares the suffixes. A gram with more
    than HOT zones is split by the prefix of whole windows instead, as hashes of two bases, counted before they are shuffled.
@@ -60,19 +61,22 @@ def document_zones(values: list[np.ndarray], window: int, gram: int) -> Iterator
 
 
 def zone_rows(keyed: DataFrame, read: Reader, window: int, gram: int) -> DataFrame:
-    """k (gram hash), u (hash of the whole zone), doc, th and lo of every zone."""
+    """k (gram hash), u and v (hashes of the whole zone by two bases), doc, th and lo of every zone."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             doc, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            cols: list[list] = [[], [], [], [], []]
-            for i, base, prefix, lo, hi, _, k in document_zones(read(common.texts_of(batch)), window, gram):
-                for c, x in zip(cols, (k.view(np.int64), prefix.of(lo, hi + window).view(np.int64), np.full(len(lo), doc[i]), np.full(len(lo), th[i]), lo - base), strict=True):
+            cols: list[list] = [[], [], [], [], [], []]
+            prefix = second = None
+            for i, base, p, lo, hi, _, k in document_zones(read(common.texts_of(batch)), window, gram):
+                if p is not prefix:
+                    prefix, second = p, p.second()
+                for c, x in zip(cols, (k.view(np.int64), p.of(lo, hi + window).view(np.int64), second.of(lo, hi + window).view(np.int64), np.full(len(lo), doc[i]), np.full(len(lo), th[i]), lo - base), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["k", "u", "doc", "th", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["k", "u", "v", "doc", "th", "lo"])
 
-    return keyed.select("doc", "th", "text").mapInArrow(rows, "k long, u long, doc long, th long, lo long")
+    return keyed.select("doc", "th", "text").mapInArrow(rows, "k long, u long, v long, doc long, th long, lo long")
 
 
 def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool, list[DataFrame]]:
@@ -80,21 +84,21 @@ def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool, list[DataF
     stored tables that this is read from.
 
     earlier: a window is repeated if it occurs in a document with a smaller id; else, if it occurs anywhere else."""
-    grams = zones.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
-    grams = grams.where("d0 < d1" if earlier else "c > 1").select("k", (F.col("u0") == F.col("u1")).alias("same"), "d0")
+    grams = zones.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
+    grams = grams.where("d0 < d1" if earlier else "c > 1").select("k", ((F.col("u0") == F.col("u1")) & (F.col("v0") == F.col("v1"))).alias("same"), "d0")
     grams = common.stored(grams, "grams")  # so that the join below can deal a hot gram to many tasks
     met = common.stored(zones.join(grams, "k"), "zones")
     common.discard(grams)
     equal = met.where("same AND doc > d0" if earlier else "same").select("doc", "th", "lo", F.lit(REPEATED).alias("kind"))
-    mixed = met.where("NOT same").select("k", "u", "doc", "th", "lo", "d0")
+    mixed = met.where("NOT same").select("k", "u", "v", "doc", "th", "lo", "d0")
     first = F.struct("doc", "th", "lo")
-    whole = mixed.groupBy("k", "u").agg(F.count(F.lit(1)).alias("c"), F.min(first).alias("first"))
+    whole = mixed.groupBy("k", "u", "v").agg(F.count(F.lit(1)).alias("c"), F.min(first).alias("first"))
     if earlier:
         kind = F.when(F.col("doc") > F.col("first.doc"), REPEATED).when(F.col("doc") > F.col("d0"), OPEN).otherwise(STANDS)
     else:
         kind = F.when(F.col("c") == 1, OPEN).otherwise(REPEATED)
     whole = common.stored(whole, "whole")
-    mixed = mixed.join(whole, ["k", "u"]).select("k", "doc", "th", "lo", kind.alias("kind"), (F.col("c") > 1).alias("several"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
+    mixed = mixed.join(whole, ["k", "u", "v"]).select("k", "doc", "th", "lo", kind.alias("kind"), (F.col("c") > 1).alias("several"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
     mixed = common.stored(mixed, "mixed")
     common.discard(whole)
     sent = mixed.where(f"kind <> {REPEATED}" + ("" if earlier else " OR is_first")).select("k", "doc", "th", "lo", F.when(F.col("kind") == REPEATED, STANDS).otherwise(F.col("kind")).alias("kind"))
@@ -143,8 +147,9 @@ def covered(starts: np.ndarray, last: np.ndarray, window: int, n: int) -> tuple[
     return mask, int((mask & ~np.concatenate(([False], mask[:-1]))).sum()) if n else 0
 
 
-def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier: bool, match: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: pa.Schema, result_ddl: str, symbol: np.dtype) -> DataFrame:
-    """For every document, doc_id and finish(text, starts, last) for the intervals of repeated window starts.
+def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier: bool, match: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: pa.Schema, result_ddl: str, symbol: np.dtype, with_hash: bool = False) -> DataFrame:
+    """For every document, doc_id and finish(text, starts, last) for the intervals of repeated window starts; if with_hash,
+    text_hash too, the text's xxhash64.
 
     match(keys, docs, bodies, heads, offsets, open, earlier) compares the suffixes of zones and returns a mask for each."""
     keyed = common.doc_keys(docs)
@@ -282,17 +287,18 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
         strips = common.stored(sends.mapInArrow(send_hot, "h1 long, h2 long, doc long, th long, s long, e long, open boolean, core long, w1 array<long>, w2 array<long>"), "strips")
         found = found.union(hot_spans(strips, earlier))
     spans = found.groupBy("doc", "th").agg(F.collect_list("s").alias("more_s"), F.collect_list("e").alias("more_e"))
-    out = pa.schema([("doc_id", pa.int64()), *result])
+    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), *result])
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             rows = []
             for r in batch.to_pylist():
                 s, e = (np.array([*r[a], *(r[b] or [])], dtype=np.int64) for a, b in (("s", "more_s"), ("e", "more_e")))
-                rows.append({"doc_id": r["doc_id"]} | dict(zip(names, finish(r["text"], *spans_of(s, e)), strict=True)))
+                rows.append({"doc_id": r["doc_id"], "th": r["th"]} | dict(zip(names, finish(r["text"], *spans_of(s, e)), strict=True)))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     waiting = table.where("waits").select("doc", "th", "doc_id", "text", "s", "e").join(spans, ["doc", "th"], "left")
-    settled = table.where("NOT waits").select("doc_id", *names)
-    return settled.union(waiting.select("doc_id", "text", "s", "e", "more_s", "more_e").mapInArrow(last_pass, f"doc_id long, {result_ddl}"))
+    settled = table.where("NOT waits").select("doc_id", "th", *names)
+    done = waiting.select("doc_id", "th", "text", "s", "e", "more_s", "more_e").mapInArrow(last_pass, f"doc_id long, th long, {result_ddl}")
+    return settled.union(done).select("doc_id", *names, *[F.col("th").alias("text_hash")] * with_hash)

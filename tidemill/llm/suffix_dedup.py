@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +129,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False)
 
     Returns for each document doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (lowercase hex
     of the bytes that remain), and, if with_text, kept_text: what remains as text, without code points that lost bytes,
-    and text_crc32 (of the whole text), which tells rows apart that repeat a doc_id.
+    and text_hash (xxhash64 of the whole text), which tells rows apart that repeat a doc_id.
 
     A null or empty text has no bytes. A row that is repeated in full is a copy like any other, so both lose what
     repeats. Rows that repeat a doc_id with another text are documents of their own. A null doc_id stays null. An
@@ -140,8 +139,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False)
     def finish(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
         kept, removed, runs = cut_bytes(text, s, e, window)
         row = (len(text), removed, runs, hashlib.sha256(kept).hexdigest())
-        return (*row, kept.decode(errors="ignore"), zlib.crc32(text)) if with_text else row
+        return (*row, kept.decode(errors="ignore")) if with_text else row
 
-    schema = RESULT.append(pa.field("kept_text", pa.string())).append(pa.field("text_crc32", pa.int64())) if with_text else RESULT
-    ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, text_crc32 long" * with_text
-    return repeats.mark_repeats(docs, read_bytes, window, gram, False, match, finish, schema, ddl, np.uint8)
+    schema = RESULT.append(pa.field("kept_text", pa.string())) if with_text else RESULT
+    ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    return repeats.mark_repeats(docs, read_bytes, window, gram, False, match, finish, schema, ddl, np.uint8, with_hash=with_text)
