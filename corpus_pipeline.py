@@ -12,15 +12,19 @@ from tidemill.llm import common, decontaminate, language, neardup, packing, suff
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A best cosine of no more than this names no language.
 LEAST_SCORE = 0.02
+#: Units whose ids a worker remembers while it packs: other stages share its memory.
+REMEMBERED = 200_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds a join key that is not null."""
-    return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)))
+    """Adds what tells a row apart from others with another text: key, a doc_id that is not null, and text_hash."""
+    return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID))).withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is recognised: null texts, texts without a letter, texts like no prototype."""
+    """Rejects documents in which no language is recognised: null texts, texts without a letter, texts like no prototype.
+
+    Rows are judged one by one, so null and repeated ids change nothing. Where no language can be learned, none is left."""
     model = language.learn(language.held_out(docs).where(~F.col("held_out")))
     found = language.identify(docs.select(*COLUMNS), model)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > LEAST_SCORE)).select(*COLUMNS)
@@ -33,30 +37,36 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies. A null id sorts first; of equal ids the text with the least hash is kept."""
     rows = common.stored(keyed(docs.select(*COLUMNS)).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
-    order = rows.select("row", F.struct("key", F.xxhash64("text").alias("hash"), "row").alias("place"))
+    order = rows.select("row", F.struct("key", "text_hash", "row").alias("place"))
     least = found.join(order, "row").groupBy("component_id").agg(F.min("place").alias("least")).select("least.row")
     return rows.join(least, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 200 bytes that occur elsewhere; a document of which nothing is left goes."""
-    cut = keyed(suffix_dedup.suffix_dedup(docs, with_text=True)).select("key", "text_crc32", "kept_text", "n_removed").dropDuplicates(["key", "text_crc32"])
-    rest = keyed(docs.select(*COLUMNS)).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text", "n_chars")
-    rest = rest.join(cut, ["key", "text_crc32"])
+    """Removes strings of 200 bytes that occur elsewhere; a document of which nothing is left goes.
+
+    A row is found by its id, null or not, and its text, so rows that repeat an id with another text each keep their own
+    rest; rows that are repeated in full are copies of each other like any others. A null text stays as an empty one."""
+    cut = suffix_dedup.suffix_dedup(docs, with_text=True).withColumn("key", F.coalesce("doc_id", F.lit(common.NULL_ID)))
+    cut = cut.select("key", "text_hash", "kept_text", "n_removed").dropDuplicates(["key", "text_hash"])
+    rest = keyed(docs.select(*COLUMNS)).drop("text", "n_chars").join(cut, ["key", "text_hash"])
     rest = rest.where("n_removed = 0 OR length(trim(kept_text)) > 0")
     return rest.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which any window of eight words of a benchmark item occurs."""
+    """Drops documents in which any window of eight words of a benchmark item occurs.
+
+    A row is found by its id, null or not, and its text: others with that id or without an id stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs, benchmark).where("n_items > 0").select("doc_id").distinct()
-    return keyed(docs).join(keyed(found).select("key"), "key", "left_anti").select(*COLUMNS)
+    found = decontaminate.decontaminate(docs, benchmark, with_hash=True).where("n_items > 0")
+    found = found.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("key"), "text_hash").distinct()
+    return keyed(docs.select(*COLUMNS)).join(found, ["key", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
-    return packing.pack(docs, 1024)
+    """Packs what is left into sequences of 1024 tokens; every row is packed, with a null id or a repeated one too."""
+    return packing.pack(docs, 1024, remembered=REMEMBERED)
 
 
 STAGES = [
@@ -72,7 +82,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. What a stage leaves in the shared folder is deleted when the next one is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(common.scratch_tables())
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), name)
+        common.clean(spark, docs, since=since)
     return docs
