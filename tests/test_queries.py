@@ -2,6 +2,10 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -33,11 +37,27 @@ def test_query(spark, duck, name):
     assert flat(got) == flat(want)
 
 
-def test_entry_without_the_training_data_operators():
-    import __spark_entry__ as e
+def test_entry_without_the_training_data_operators(tmp_path):
+    """With that subpackage and what calls it gone, the rest imports and offers its queries."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tidemill", tmp_path / "tidemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import pkgutil, importlib, tidemill, __spark_entry__ as e\nfor m in pkgutil.walk_packages(tidemill.__path__, 'tidemill.'): importlib.import_module(m.name)\nprint(*sorted(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == sorted(Q.queries())
 
-    assert set(Q.queries()) <= set(e.queries())
-    assert set(e.oracle_sql()) <= set(e.queries())
+
+def test_entry_does_not_hide_other_missing_modules(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tidemill", tmp_path / "tidemill", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if not (tmp_path / "tidemill/llm").exists():
+        pytest.skip("the subpackage is not there")
+    (tmp_path / "tidemill/llm/common.py").write_text("import a_module_that_is_not_installed\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+    assert said.returncode and "a_module_that_is_not_installed" in said.stderr
 
 
 def test_timeout_then_take_ends_at_a_silence(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import itertools
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -37,6 +37,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, registry: Registry | None = None, large: bool | None = None, block: int | None = None):
         self.spark, self.registry = spark, registry
+        self.cached: list[DataFrame] = []  # of the run that goes on
         self.ctx = Context(spark, large, *([block] if block else []))
         self.catalog = vocabulary.local_catalog()
         if registry:
@@ -92,8 +93,6 @@ class Engine:
             return ins[0].with_df(parent.bind["frame"](self.spark, node.bind["n"]))
         return lower.LOWER[node.kind](self.ctx, ins[0], node.bind)
 
-    cached: list[DataFrame] = []
-
     @staticmethod
     def _costly(node: Node) -> bool:
         """A leg can read a plain source again for less than storing it."""
@@ -178,11 +177,14 @@ class Engine:
                 fn, n, scalar = t.bind["fn"], t.bind["options"].max_concurrency, s.columns == ["value"]
 
                 def each(part):
-                    with ThreadPoolExecutor(n) as pool:
-                        for _ in pool.map(lambda r: fn(r["value"] if scalar else r.asDict()), part):
-                            pass
+                    for _ in lower.called(fn, [r["value"] if scalar else r.asDict() for r in part], n, True):
+                        pass
+
+                def each_slice(part):
+                    while some := list(itertools.islice(part, 1024)):
+                        each(some)
 
-                rows.foreachPartition(each)
+                rows.foreachPartition(each_slice)
             case "to-channel":
                 self._fail(s)
                 for r in ok.orderBy(*s.order).select(*s.columns).toLocalIterator():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import asyncio
 import copy
+import inspect
 import time
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -31,8 +33,17 @@ class Chain:
 
     def __init__(self, steps: list[tuple[str, dict]]):
         self.steps = steps
+        self.loop: asyncio.AbstractEventLoop | None = None
         self.reset()
 
+    def _now(self, x: Any) -> Any:
+        """The result of a step, waited for if it has to be awaited: the next element needs it."""
+        if not inspect.isawaitable(x):
+            return x
+        if self.loop is None:
+            self.loop = asyncio.new_event_loop()
+        return self.loop.run_until_complete(x)
+
     def reset(self) -> None:
         self.state: list[dict] = [{"n": 0, "open": [], "keys": OrderedDict(), "value": copy.deepcopy(b["fold"].seed) if kind == "scan" else None} for kind, b in self.steps]
         self.ended = False
@@ -71,7 +82,7 @@ class Chain:
                     raise RuntimeError("fault point")
                 return [x], True
             case "scan":
-                s["value"] = b["fold"].step(s["value"], x)
+                s["value"] = self._now(b["fold"].step(s["value"], x))
                 return [{"value": s["value"]}], True
             case "take":
                 return ([x] if s["n"] <= b["n"] else []), s["n"] < b["n"]
@@ -228,11 +239,11 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
 
         from .order import LAST
 
-        machine, key, failed = None, None, False
+        machine, key, failed, since = None, None, False, 0
         rows: list[tuple] = []
 
-        def put(found: list, at: int) -> None:
-            for i, y in enumerate(found):
+        def put(found: list, at: int, tie: int = 0) -> None:
+            for i, y in enumerate(found, tie):
                 y = y if isinstance(y, dict) else {"value": y}
                 rows.append((*(y.get(n) for n in outs), *(key or ()), at, i, None))
 
@@ -242,7 +253,7 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
         def end() -> None:
             if machine is not None and not failed:
                 try:
-                    put(machine.flush(), LAST)
+                    put(machine.flush(), LAST, since << 20 if part else 0)  # keys are flushed in the order they opened
                 except Exception as e:
                     fail(e, LAST)
 
@@ -258,7 +269,7 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
             for values, p, at, e in zip(records[names].itertuples(index=False, name=None), parts, records[SEQ], errs, strict=True):
                 if machine is None or p != key:
                     end()
-                    machine, key, failed = make(), p, False
+                    machine, key, failed, since = make(), p, False, at
                 if failed or machine.ended:
                     continue
                 if e is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import itertools
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, as_completed
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from tidemill.functions import Fold, Py, column
 from tidemill.options import ActiveKeyOverflowPolicy, KeyOverflowPolicy, OverflowPolicy, RetryExhaustion, SupervisionForm, ThrottleMode
 
-from .interpreter import Substreams, Supervised, sequential
+from .interpreter import Chain, Substreams, Supervised, sequential
 from .order import ERR, KEY, LAST, SEQ, TIE, TS, Context, Stream
 
 Lower = Callable[[Context, Stream, dict], Stream]
@@ -57,8 +59,49 @@ def where(s: Stream, cond: Column) -> Stream:
     return s.with_df(s.df.where(keep | F.col(ERR).isNotNull() if s.err else keep), dense=False)
 
 
-def per_row(s: Stream, fn: Callable[[dict], Any], schema: str, workers: int = 1, ordered: bool = True) -> Stream:
-    """A Python function of each element, in Arrow batches, with up to `workers` calls at once in a task."""
+async def awaited(x: Any) -> Any:
+    """x, or what it stands for if it has to be awaited; the elements of an asynchronous iterable as a list."""
+    if inspect.isawaitable(x):
+        x = await x
+    return [y async for y in x] if hasattr(x, "__aiter__") else x
+
+
+def called(fn: Callable[[dict], Any], records: list[dict], workers: int, ordered: bool) -> Iterator[tuple[int, Any]]:
+    """(place, result) of a function of each record, `workers` calls at once: threads, or tasks of one event loop where
+    the function is a coroutine function or gives an asynchronous iterable."""
+
+    async def all_at_once() -> list[tuple[int, Any]]:
+        gate, done = asyncio.Semaphore(workers), []
+
+        async def one(i: int) -> None:
+            async with gate:
+                done.append((i, await awaited(fn(records[i]))))
+
+        async with asyncio.TaskGroup() as group:
+            for i in range(len(records)):
+                group.create_task(one(i))
+        return done
+
+    body = getattr(fn, "func", fn)
+    if inspect.iscoroutinefunction(body) or inspect.isasyncgenfunction(body):
+        try:
+            done = asyncio.run(all_at_once())
+        except ExceptionGroup as e:
+            raise e.exceptions[0] from None  # the first failure is the run's
+        yield from sorted(done, key=lambda x: x[0]) if ordered else done
+        return
+    with ThreadPoolExecutor(workers) as pool:
+        if ordered:
+            yield from enumerate(pool.map(fn, records))
+        else:
+            waiting = {pool.submit(fn, r): i for i, r in enumerate(records)}
+            for f in as_completed(waiting):
+                yield waiting[f], f.result()
+
+
+def per_row(s: Stream, fn: Callable[[dict], Any], schema: str, workers: int = 1, ordered: bool = True, each: Callable[[dict, Any], Any] | None = None) -> Stream:
+    """A Python function of each element, in Arrow batches, with up to `workers` calls at once in a task. each(record,
+    result) makes the element that comes out; by default the result is that."""
     names, internal = s.columns, s.internal
     fields = T._parse_datatype_string(schema)
     if not isinstance(fields, T.StructType):
@@ -70,23 +113,15 @@ def per_row(s: Stream, fn: Callable[[dict], Any], schema: str, workers: int = 1,
     def run(batches) -> Iterator:
         import pandas as pd
 
-        def call(r: dict) -> Any:
-            return fn(r)
-
-        with ThreadPoolExecutor(workers) as pool:
-            for pdf in batches:
-                records = pdf[names].astype(object).where(pdf[names].notna(), None).to_dict("records")
-                todo = [i for i in range(len(records)) if not has_err or pd.isna(pdf[ERR].iloc[i])]
-                if ordered:
-                    done = dict(zip(todo, pool.map(call, [records[i] for i in todo]), strict=True))
-                else:
-                    waiting = {pool.submit(call, records[i]): i for i in todo}
-                    done = {waiting[f]: f.result() for f in as_completed(waiting)}
-                at = list(done) + [i for i in range(len(records)) if i not in done] if not ordered else list(range(len(records)))
-                found = [done.get(i) for i in at]
-                found = [y if isinstance(y, dict) else {"value": y} for y in found]
-                out = pd.DataFrame({n: pd.Series([y.get(n) for y in found], dtype=object) for n in outs})
-                yield pd.concat([out, pdf[internal].iloc[at].reset_index(drop=True)], axis=1)
+        for pdf in batches:
+            records = pdf[names].astype(object).where(pdf[names].notna(), None).to_dict("records")
+            todo = [i for i in range(len(records)) if not has_err or pd.isna(pdf[ERR].iloc[i])]
+            done = {todo[i]: each(records[todo[i]], y) if each else y for i, y in called(fn, [records[i] for i in todo], workers, ordered)}
+            at = list(range(len(records))) if ordered else list(done) + [i for i in range(len(records)) if i not in done]
+            found = [done.get(i) for i in at]
+            found = [y if isinstance(y, dict) else {"value": y} for y in found]
+            out = pd.DataFrame({n: pd.Series([y.get(n) for y in found], dtype=object) for n in outs})
+            yield pd.concat([out, pdf[internal].iloc[at].reset_index(drop=True)], axis=1)
 
     return s.with_df(s.df.mapInPandas(run, full))
 
@@ -104,7 +139,7 @@ def select(ctx: Context, s: Stream, b: dict) -> Stream:
 @stage("where")
 def filter_(ctx: Context, s: Stream, b: dict) -> Stream:
     if isinstance(b["fn"], Py):
-        kept = per_row(s, lambda r, f=b["fn"].fn: {**r, "__keep": bool(f(r))}, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.df.schema if f.name in s.columns) + ", __keep boolean")
+        kept = per_row(s, b["fn"].fn, f"{ddl(s)}, __keep boolean", each=lambda r, y: {**r, "__keep": bool(y)})
         kept = where(kept, F.col("__keep"))
         return kept.with_df(kept.df.drop("__keep"))
     return where(s, column(b["fn"]))
@@ -112,9 +147,11 @@ def filter_(ctx: Context, s: Stream, b: dict) -> Stream:
 
 @stage("select-many", "merge-map")
 def select_many(ctx: Context, s: Stream, b: dict) -> Stream:
-    """Flatten an array; a null array fails. The order is that of the element and then the place in its array."""
+    """Flatten an array, or what a function gives: an iterable, or an asynchronous one, of which merge-map reads
+    max_concurrency at once in a task; a null array fails. The order is that of the element and then the place in its array."""
     if isinstance(b["fn"], Py):
-        s2 = per_row(s, lambda r, f=b["fn"].fn: {"value": list(f(r))}, f"value array<{b['fn'].schema}>")
+        workers = b["options"].max_concurrency if "options" in b else 1
+        s2 = per_row(s, b["fn"].fn, f"value array<{b['fn'].schema}>", workers, each=lambda _, y: {"value": None if y is None else list(y)})
         array = F.col("value")
     else:
         s2, array = s, column(b["fn"])
@@ -188,6 +225,7 @@ def stops(s: Stream, e: Any) -> Column:
 @stage("take-while")
 def take_while(ctx: Context, s: Stream, b: dict) -> Stream:
     if not s.part:  # the end is one key, found by an aggregate: no task sees the whole stream
+        s = ctx.settled(s)
         return s.with_df(s.df.where(F.coalesce(s.key() < first_where(s, stops(s, b["fn"])), F.lit(True))))
     r = ctx.running(s, {"__df_stop": ("max", stops(s, b["fn"]), True)})
     return r.with_df(r.df.where(~F.coalesce("__df_stop", F.lit(False))).drop("__df_stop"))
@@ -196,6 +234,7 @@ def take_while(ctx: Context, s: Stream, b: dict) -> Stream:
 @stage("take-through")
 def take_through(ctx: Context, s: Stream, b: dict) -> Stream:
     if not s.part:
+        s = ctx.settled(s)
         return s.with_df(s.df.where(F.coalesce(s.key() <= first_where(s, stops(s, b["fn"])), F.lit(True))))
     r = ctx.running(s, {"__df_stop": ("max", stops(s, b["fn"]), False)})
     return r.with_df(r.df.where(~F.coalesce("__df_stop", F.lit(False))).drop("__df_stop"))
@@ -204,6 +243,7 @@ def take_through(ctx: Context, s: Stream, b: dict) -> Stream:
 @stage("skip-while")
 def skip_while(ctx: Context, s: Stream, b: dict) -> Stream:
     if not s.part:
+        s = ctx.settled(s)
         return where(s, F.coalesce(s.key() >= first_where(s, stops(s, b["fn"])), F.lit(False)))
     r = ctx.running(s, {"__df_stop": ("max", stops(s, b["fn"]), True)})
     r = where(r, F.col("__df_stop"))
@@ -216,13 +256,12 @@ def distinct(ctx: Context, s: Stream, b: dict) -> Stream:
     o = b["options"]
     if o.overflow_policy == KeyOverflowPolicy.EVICT_OLDEST:
         steps = [("distinct", {"options": o})]
-        from .interpreter import Chain
-
         return sequential(ctx, s, lambda: Chain(steps), ddl(s))
-    first = F.row_number().over(Window.partitionBy(*s.part, *s.columns, *([ERR] if s.err else [])).orderBy(*s.order)) == 1
-    s = s.with_df(s.df.withColumn("__df_first", first))
-    s = where(s, F.col("__df_first"))
-    s = s.with_df(s.df.drop("__df_first"))
+    by = [*s.part, *s.columns, *([ERR] if s.err else [])]
+    rest = [c for c in s.internal if c not in by]
+    # an aggregate, so that a value with very many rows is reduced where they stand
+    firsts = s.df.groupBy(*by).agg(F.min_by(F.struct(*rest), s.key()).alias("__df_first"))
+    s = s.with_df(firsts.select(*by, *[F.col("__df_first")[c].alias(c) for c in rest]), dense=False)
     s = ctx.dense(s)
     if s.part:
         return bounded_part(ctx, s, F.col(SEQ) >= o.max_tracked_keys, f"more than {o.max_tracked_keys} keys")
@@ -253,8 +292,6 @@ def scan(ctx: Context, s: Stream, b: dict) -> Stream:
     """Every state, never the seed."""
     f: Fold = b["fold"]
     if f.kind == "python":
-        from .interpreter import Chain
-
         return sequential(ctx, s, lambda: Chain([("scan", b)]), f"value {f.schema}")
     if f.kind == "last":
         return s.with_df(s.df.select(column(f.value).alias("value"), *s.internal))
@@ -382,21 +419,31 @@ def grouped_within(ctx: Context, s: Stream, b: dict) -> Stream:
 def group_by(ctx: Context, s: Stream, b: dict) -> Stream:
     """One private instance of the flow for each key. Without eviction, every key is a partition of the flow's windows."""
     o = b["options"]
-    python = any(isinstance(x.get("fn"), Py) or "py" in x for _, x in b["steps"])
-    if o.overflow_policy == ActiveKeyOverflowPolicy.EVICT_IDLE or python:
+    python = any(isinstance(x.get("fn"), Py) or isinstance(x.get("fold"), Fold) and x["fold"].kind == "python" for _, x in b["steps"])
+    if o.overflow_policy == ActiveKeyOverflowPolicy.EVICT_IDLE or isinstance(b["key"], Py) and b["key"].schema is None:
         key = b["key"].fn if isinstance(b["key"], Py) else (lambda r, k=b["key"]: r[k])
         steps = python_steps(b["steps"])
         return sequential(ctx, s, lambda: Substreams(key, steps, o), b.get("schema") or ddl(s))
-    s = s.with_df(s.df.withColumn(KEY, column(b["key"])))
+    if isinstance(b["key"], Py):
+        names = s.columns
+        s = per_row(s, b["key"].fn, f"{ddl(s)}, __key {b['key'].schema}", each=lambda r, y: {**r, "__key": y})
+        s = s.with_df(s.df.withColumn(KEY, F.col("__key")).select(*names, KEY, *s.internal))
+    else:
+        s = s.with_df(s.df.withColumn(KEY, column(b["key"])))
     if s.order != (SEQ,):
         s = ctx.dense(s)
-        s = s.with_df(s.df.withColumn(KEY, column(b["key"]))) if KEY not in s.df.columns else s
-    first = F.row_number().over(Window.partitionBy(KEY).orderBy(SEQ)) == 1
-    s = s.with_df(s.df.withColumn("__df_first", first.cast("int")))
-    count = ctx.running(s, {"__df_live": ("sum", F.col("__df_first"), True)})
-    s = ctx.fail_at(count, F.col("__df_live") > o.max_active_keys, "TrackedKeyOverflowError", F.concat(F.lit("key "), F.coalesce(F.col(KEY).cast("string"), F.lit("null")), F.lit(f" is one more than {o.max_active_keys}")))
-    s = s.with_df(s.df.drop("__df_first", "__df_live"), dense=False, part=(KEY,))
-    out = apply(ctx, s, b["steps"])
+    # the key past the bound arrives at the bound's place among the keys' first positions
+    firsts = s.df.where(s.ok()).groupBy(KEY).agg(F.min(SEQ).alias("first"))
+    counted = ctx.dense(Stream(firsts.select("first", F.col("first").alias("__df_o0")), ("__df_o0",))).df
+    past_at = counted.where(F.col(SEQ) == o.max_active_keys).agg(F.min("first").alias("k")).scalar()
+    message = F.concat(F.lit("TrackedKeyOverflowError: key "), F.coalesce(F.col(KEY).cast("string"), F.lit("null")), F.lit(f" is one more than {o.max_active_keys}"))
+    err = F.when(F.coalesce(F.col(SEQ) == past_at, F.lit(False)), message).otherwise(F.col(ERR) if s.err else F.lit(None).cast("string"))
+    s = s.with_df(s.df.where(F.coalesce(F.col(SEQ) <= past_at, F.lit(True))).withColumn(ERR, err), err=True, dense=False, part=(KEY,))
+    if python:  # keys are independent: one machine for each, in the task of its key
+        steps = python_steps(b["steps"])
+        out = sequential(ctx, s.with_df(s.df, dense=True), lambda: Chain(steps), b.get("schema") or ddl(s))
+    else:
+        out = apply(ctx, s, b["steps"])
     named = b.get("key_name")
     df = out.df.withColumn(named, F.col(KEY)) if named else out.df
     return out.with_df(df.drop(KEY), part=(), dense=False)
@@ -558,9 +605,9 @@ def lossy(ctx: Context, s: Stream, o, make: Callable) -> Stream:
 
 @stage("buffer")
 def buffer(ctx: Context, s: Stream, b: dict) -> Stream:
-    """Without loss it only decouples, which Spark's stages do. A lossy policy needs the consumer's time for an element."""
+    """Without loss it only decouples, which Spark's stages do. Other policies depend on the consumer's time for an element."""
     o = b["options"]
-    if o.overflow_policy == OverflowPolicy.BACKPRESSURE or b.get("service") is None:
+    if o.overflow_policy == OverflowPolicy.BACKPRESSURE:
         return s
     need_time(s)
     return lossy(ctx, s, o, lambda: Held(b["service"], o))
@@ -568,8 +615,22 @@ def buffer(ctx: Context, s: Stream, b: dict) -> Stream:
 
 @stage("valve")
 def valve(ctx: Context, s: Stream, b: dict) -> Stream:
-    """Open: all pass. Closed: a batch run would never end, so nothing passes until it is opened and run again."""
-    return s if b["control"].is_open else s.with_df(s.df.limit(0))
+    """A gate in the stream's time, by the times at which its handle was opened and closed: what arrives while it is closed
+    is held, in order, and leaves when it opens. What it still holds at its last closing would keep a batch run from
+    ending; the run ends without it, and a run after a later opening gives it."""
+    control = b["control"]
+    if not control.moves:
+        return s if control.is_open else s.with_df(s.df.limit(0))
+    need_time(s)
+    out = F.col(TS)
+    held = F.lit(False)
+    for since, until in control.closed_spans():
+        inside = (F.col(TS) >= since if since is not None else F.lit(True)) & (F.col(TS) < until if until is not None else F.lit(True))
+        if until is None:
+            held = inside
+        else:
+            out = F.when(inside, F.lit(until)).otherwise(out)
+    return s.with_df(s.df.where(~held | ~s.ok()).withColumn(TS, out), dense=False)
 
 
 # G: scopes

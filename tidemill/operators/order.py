@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,13 +54,18 @@ class Stream:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Stored in spark.checkpoint.dir, which executors share; a temporary folder serves single-JVM local mode alone."""
+    """Written once as a table in spark.checkpoint.dir, which executors share, and read back: the plan is computed once and
+    its lineage is cut. A temporary folder serves single-JVM local mode alone."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
-    return df.checkpoint()
+        where = tempfile.mkdtemp(prefix="tidemill-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Context:
@@ -69,18 +75,21 @@ class Context:
         self.spark, self.forced, self.block = spark, large, block
 
     def large(self, s: Stream) -> bool:
-        if s.part:
-            return False
         if self.forced is not None:
             return self.forced
         return int(str(s.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE_BYTES
 
+    def settled(self, s: Stream) -> Stream:
+        """A large stream, stored: a guard reads it twice, and guards in a chain would else read what is above them as
+        often as two to their number."""
+        return s.with_df(checkpointed(s.df)) if self.large(s) else s
+
     def dense(self, s: Stream) -> Stream:
         """SEQ counts the rows from 0 (of each part). A large stream is dealt by ranges of its order; each task counts its rows and a
         small table of the tasks' counts shifts them."""
         if s.dense:
             return s
-        if not self.large(s):
+        if s.part or not self.large(s):
             return self._named(s, F.row_number().over(s.window()).cast("long") - 1, s.df)
         ranged = checkpointed(s.df.repartitionByRange(*s.order).sortWithinPartitions(*s.order).withColumn("__df_m", F.monotonically_increasing_id()))
         ranged = ranged.withColumn("__df_p", F.shiftrightunsigned("__df_m", 33))
@@ -98,19 +107,22 @@ class Context:
 
         On a large stream in two phases: within blocks of positions, then over one row for each block."""
         calls = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-        if not self.large(s):
+        if not self.large(s) or s.part and s.order != (SEQ,):
             w = s.window()
             add = {n: calls[how](x).over(w.rowsBetween(Window.unboundedPreceding, 0 if own else -1)) for n, (how, x, own) in outs.items()}
             return s.with_df(s.df.withColumns(add))
-        s = self.dense(s)
+        if not s.part:
+            s = self.dense(s)
+        # a private stream keeps the positions of the whole one, so that a key with very many rows has many blocks too
         df = s.df.withColumn("__df_block", F.expr(f"{SEQ} div {self.block}")).withColumns({f"__df_x_{n}": x for n, (_, x, _) in outs.items()})
-        w = Window.partitionBy("__df_block").orderBy(SEQ)
+        w = Window.partitionBy(*s.part, "__df_block").orderBy(SEQ)
         df2 = df.withColumns({n: calls[how](f"__df_x_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0 if own else -1)) for n, (how, _, own) in outs.items()})
-        over = Window.orderBy("__df_block").rowsBetween(Window.unboundedPreceding, -1)
-        sums = df.groupBy("__df_block").agg(*[calls[how](f"__df_x_{n}").alias(f"__df_y_{n}") for n, (how, _, _) in outs.items()])
+        over = Window.partitionBy(*s.part).orderBy("__df_block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = df.groupBy(*s.part, "__df_block").agg(*[calls[how](f"__df_x_{n}").alias(f"__df_y_{n}") for n, (how, _, _) in outs.items()])
         merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-        carry = sums.select("__df_block", *[merge[how](f"__df_y_{n}").over(over).alias(f"__df_z_{n}") for n, (how, _, _) in outs.items()])
-        df2 = df2.join(carry, "__df_block")
+        carry = sums.select(*[F.col(c).alias(f"__df_c{i}") for i, c in enumerate((*s.part, "__df_block"))], *[merge[how](f"__df_y_{n}").over(over).alias(f"__df_z_{n}") for n, (how, _, _) in outs.items()])
+        same = [F.col(c).eqNullSafe(F.col(f"__df_c{i}")) for i, c in enumerate((*s.part, "__df_block"))]
+        df2 = df2.join(carry, same)
         for n, (how, _, _) in outs.items():
             a, b = F.col(n), F.col(f"__df_z_{n}")
             df2 = df2.withColumn(n, {"min": F.least, "max": F.greatest}[how](a, b) if how in ("min", "max") else F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
@@ -118,7 +130,7 @@ class Context:
 
     def previous(self, s: Stream, outs: dict[str, Column]) -> Stream:
         """Adds values of the row before; null for the first."""
-        if not self.large(s):
+        if s.part or not self.large(s):
             return s.with_df(s.df.withColumns({n: F.lag(x).over(s.window()) for n, x in outs.items()}))
         s = self.dense(s)
         df = s.df.withColumn("__df_block", F.expr(f"{SEQ} div {self.block}")).withColumns({f"__df_x_{n}": x for n, x in outs.items()})
@@ -131,6 +143,7 @@ class Context:
     def fail_at(self, s: Stream, cond: Column, code: str, message: Column) -> Stream:
         """The first row where cond holds becomes a failure and the rows behind it go. Whether it fails the run is
         settled at the terminal: a take before it ends the stream first."""
+        s = self.settled(s)
         df = s.df.withColumn("__df_bad", F.coalesce(cond, F.lit(False)) & s.ok())
         first = df.where("__df_bad").agg(F.min(s.key()).alias("k")).scalar()
         text = F.concat(F.lit(f"{code}: "), message.cast("string"))

@@ -18,6 +18,9 @@ from .plans.document import DURABLE_STATE, EPHEMERAL, NONDEPLOYABLE, Contract, G
 SOURCES_OF_CODE = ("single", "from-task", "failed", "unfold", "unfold-async", "from-async-enumerable", "from-factory", "from-async-factory", "cycle")
 
 
+NO_FALLBACK = object()
+
+
 @dataclass(frozen=True, eq=False)
 class Node:
     kind: str
@@ -202,18 +205,23 @@ class Operators:
         return self._add("throttle", params, {"options": options, "cost": cost, "t0": t0})
 
     def buffer(self, options: BufferOptions, service_micros: int | None = None):
-        """service_micros: the consumer's time for an element, which a lossy policy's losses depend on."""
+        """service_micros: the consumer's time for an element, which other policies than backpressure need: losses depend on it."""
         options.check()
+        if options.overflow_policy != OverflowPolicy.BACKPRESSURE and service_micros is None:
+            raise ValueError(f"the policy {options.overflow_policy} needs service_micros")
         return self._add("buffer", {"capacity": options.capacity, "overflowPolicy": str(OverflowPolicy(options.overflow_policy))}, {"options": options, "service": service_micros})
 
-    def valve(self, control_name: str, mode: ValveMode = ValveMode.OPEN):
-        return self._add("valve", {"control": identity.segment("control name", control_name), "mode": str(mode)}, {"control": Valve(ValveMode(mode) == ValveMode.OPEN)})
+    def valve(self, control_name: str, mode: ValveMode = ValveMode.OPEN, control: Valve | None = None):
+        """control: a handle to move the valve by; by default it stays as mode says."""
+        return self._add("valve", {"control": identity.segment("control name", control_name), "mode": str(mode)}, {"control": control or Valve(ValveMode(mode) == ValveMode.OPEN)})
 
     # scopes
-    def supervised(self, options: SupervisionOptions, flow: Flow, fallback: Any = None, schema: str | None = None):
+    def supervised(self, options: SupervisionOptions, flow: Flow, fallback: Any = NO_FALLBACK, schema: str | None = None):
+        """fallback: the element that the recover form ends with; null is one."""
         options.check()
-        if (options.form == SupervisionForm.RECOVER) != (fallback is not None):
+        if (options.form == SupervisionForm.RECOVER) != (fallback is not NO_FALLBACK):
             raise ValueError("fallback belongs to the recover form, which needs it")
+        fallback = None if fallback is NO_FALLBACK else fallback
         _admit("supervised", flow, ADMITTED)
         params = {"form": str(options.form), "flow": [{"stage": k, "parameters": p} for k, p, _ in flow.steps]}
         if options.form == SupervisionForm.RETRY:
@@ -229,16 +237,37 @@ class Operators:
 
 
 class Valve:
-    """The handle of a valve."""
+    """The handle of a valve. open() and close() set its state; open(at) and close(at) move it at a time of the stream, in
+    microseconds."""
 
     def __init__(self, is_open: bool):
         self.is_open = is_open
-
-    def open(self) -> None:
-        self.is_open = True
-
-    def close(self) -> None:
-        self.is_open = False
+        self.moves: list[tuple[int, bool]] = []
+
+    def open(self, at: int | None = None) -> None:
+        self._move(True, at)
+
+    def close(self, at: int | None = None) -> None:
+        self._move(False, at)
+
+    def _move(self, state: bool, at: int | None) -> None:
+        if at is None:
+            self.is_open, self.moves = state, []
+        elif self.moves and at <= self.moves[-1][0]:
+            raise ValueError("a valve moves in the order of time")
+        else:
+            self.moves.append((at, state))
+
+    def closed_spans(self) -> list[tuple[int | None, int | None]]:
+        """When it is closed: since, until; None: from the start, or for good."""
+        out, since, shut = [], None, not self.is_open
+        for at, state in self.moves:
+            if shut and state:
+                out.append((since, at))
+            elif not shut and not state:
+                since = at
+            shut = not state
+        return [*out, (since, None)] if shut else out
 
 
 def _admit(what: str, flow: Flow, kinds: tuple[str, ...]) -> None:
