@@ -7,7 +7,7 @@ from tidemill import sources as S
 from tidemill.engine import Engine
 from tidemill.errors import BufferOverflowError, CollectOverflowError, DataflowError, EmptyStreamError, RateLimitExceededError, RouteOutOfRangeError, SourceFailedError, StreamTimeoutError, TrackedKeyOverflowError, UnboundedSourceError
 from tidemill.options import ActiveKeyOverflowPolicy, BufferOptions, CollectOptions, DistinctOptions, GroupByOptions, KeyOverflowPolicy, OverflowPolicy, ParallelismOptions, RetryExhaustion, SupervisionForm, SupervisionOptions, ThrottleMode, ThrottleOptions, ValveMode
-from tidemill.stream import Branch, Flow, Sink
+from tidemill.stream import Branch, Flow, Sink, Valve
 
 
 @pytest.fixture(params=[False, True], ids=["one-task", "ranges"])
@@ -268,3 +268,100 @@ def test_retry_counts_an_element_once_per_attempt_in_stages_before_the_failure(r
 def test_bounds_are_checked_where_a_stage_is_placed(make):
     with pytest.raises(ValueError):
         make()
+
+
+def test_awaited_functions(run):
+    import asyncio
+
+    async def slow(r):
+        await asyncio.sleep(0.02 * (5 - r["value"] % 5))
+        return r["value"] * 10
+
+    async def fails(r):
+        raise ValueError(f"no {r['value']}")
+
+    o = ParallelismOptions(3)
+    assert run(TEN.select_async(o, fn.Py(slow, "int"))) == [10 * i for i in range(1, 11)]
+    assert sorted(run(TEN.select_value_task_async_unordered(o, fn.Py(slow, "int")))) == [10 * i for i in range(1, 11)]
+    with pytest.raises(Exception, match="no 1"):
+        run(S.range_(1, 1).select_async(o, fn.Py(fails, "int")))
+
+
+def test_no_more_calls_at_once_than_declared():
+    import asyncio
+
+    from tidemill.operators.lower import called
+
+    now, most = [0], [0]
+
+    async def count(_):
+        now[0] += 1
+        most[0] = max(most[0], now[0])
+        await asyncio.sleep(0.005)
+        now[0] -= 1
+
+    assert [i for i, _ in called(count, [{}] * 20, 4, True)] == list(range(20)) and most[0] == 4
+
+
+def test_merge_map_of_asynchronous_sequences(run):
+    async def up_to(r):
+        for i in range(r["value"]):
+            yield i
+
+    assert run(S.range_(1, 3).merge_map(ParallelismOptions(2), fn.Py(up_to, "int"))) == [0, 0, 1, 0, 1, 2]
+
+
+def test_awaited_folds(run):
+    async def step(s, r):
+        return s + r["value"]
+
+    assert run(TEN.scan_async(fn.fold(0, step))) == [1, 3, 6, 10, 15, 21, 28, 36, 45, 55]
+
+
+def test_a_valve_holds_and_releases(run):
+    s = timed((1, 0), (2, 10), (3, 20), (4, 30), (5, 40))
+    gate = Valve(True)
+    gate.close(5)
+    gate.open(25)
+    assert run(s.valve("gate", control=gate)) == [1, 2, 3, 4, 5]
+    out = run.engine.frame(s.valve("gate", control=gate), time="left").orderBy("value").collect()
+    assert [tuple(r) for r in out] == [(1, 0), (2, 25), (3, 25), (4, 30), (5, 40)]
+    gate.close(35)
+    assert run(s.valve("gate", control=gate)) == [1, 2, 3, 4], "what it holds at the end is not released"
+    gate.open(50)
+    assert run(s.valve("gate", control=gate)) == [1, 2, 3, 4, 5]
+    shut = Valve(False)
+    assert run(s.valve("gate", control=shut)) == []
+    with pytest.raises(ValueError):
+        gate.close(10)
+
+
+def test_lossy_buffers_need_the_consumers_time():
+    with pytest.raises(ValueError, match="service_micros"):
+        TEN.buffer(BufferOptions(2, OverflowPolicy.DROP_NEWEST))
+
+
+def test_cycles_go_through_a_bounded_buffer(run):
+    half = Flow().select("value div 2")
+    assert run(S.from_rows([8, 3, 20], "int").select("cast(value AS long)").feedback(half, "value > 1", BufferOptions(5, OverflowPolicy.FAIL))) == [1, 1, 1]
+    s = S.from_rows([1, 2, 3, 4], "long")
+    less = Flow().select("value - 10")
+    assert run(s.feedback(less, "value > -10", BufferOptions(2, OverflowPolicy.DROP_NEWEST))) == [-19, -18]
+    assert run(s.feedback(less, "value > -10", BufferOptions(2, OverflowPolicy.DROP_OLDEST))) == [-17, -16]
+    assert run(s.feedback(less, "value > -10", BufferOptions(3, OverflowPolicy.DROP_BUFFER))) == [-16]
+    with pytest.raises(BufferOverflowError):
+        run(s.feedback(less, "value > -10", BufferOptions(3, OverflowPolicy.FAIL)))
+    with pytest.raises(ValueError, match="pushes back"):
+        s.feedback(less, "value > 0", BufferOptions(3))
+    with pytest.raises(DataflowError, match="rounds"):
+        run(s.feedback(Flow().select("value"), "true", BufferOptions(9, OverflowPolicy.FAIL), most_rounds=3))
+
+
+def test_keyed_python_folds_run_apart(run):
+    flow = Flow().scan(fn.fold(0, lambda s, r: s + r["value"])).grouped(2)
+    got = run(TEN.group_by(GroupByOptions(3), "value % 3", flow, schema="value array<struct<value:long>>"))
+    assert [[x["value"] for x in g] for g in got] == [[1, 5], [2, 7], [3, 9], [12, 22], [15], [18]]
+    with pytest.raises(TrackedKeyOverflowError):
+        run(TEN.group_by(GroupByOptions(2), "value % 3", flow, schema="value array<struct<value:long>>"))
+    assert run(TEN.group_by(GroupByOptions(2), "value % 3", Flow().scan(fn.total("value"))).take(2)) == [1, 2], "the key past the bound is never pulled"
+    assert run(TEN.group_by(GroupByOptions(3), fn.Py(lambda r: r["value"] % 3, "int"), Flow().scan(fn.counting()), key_name="k").select("k * 100 + value")) == [101, 201, 1, 102, 202, 2, 103, 203, 3, 104]

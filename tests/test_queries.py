@@ -12,7 +12,7 @@ import pytest
 
 from tidemill import queries as Q
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -168,6 +168,9 @@ class Engine:
             case "registered-sink":
                 self._fail(s)
                 t.bind["write"](rows, t.bind["params"])
+            case "registered-terminal":
+                self._fail(s)
+                return t.bind["finish"](rows, t.bind["params"])
             case "for-each":
                 self._fail(s)
                 for r in ok.orderBy(*s.order).select(*s.columns).toLocalIterator():

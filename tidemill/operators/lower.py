@@ -18,7 +18,7 @@ from tidemill.functions import Fold, Py, column
 from tidemill.options import ActiveKeyOverflowPolicy, KeyOverflowPolicy, OverflowPolicy, RetryExhaustion, SupervisionForm, ThrottleMode
 
 from .interpreter import Chain, Substreams, Supervised, sequential
-from .order import ERR, KEY, LAST, SEQ, TIE, TS, Context, Stream
+from .order import ERR, KEY, LAST, SEQ, TIE, TS, Context, Stream, checkpointed
 
 Lower = Callable[[Context, Stream, dict], Stream]
 LOWER: dict[str, Lower] = {}
@@ -633,6 +633,44 @@ def valve(ctx: Context, s: Stream, b: dict) -> Stream:
     return s.with_df(s.df.where(~held | ~s.ok()).withColumn(TS, out), dense=False)
 
 
+@stage("feedback")
+def feedback(ctx: Context, s: Stream, b: dict) -> Stream:
+    """Rounds over what goes back, each stored, until nothing does. A round's elements leave behind those of the rounds before."""
+    o, names = b["options"], s.columns
+    now, done, turn = s, None, 0
+    while True:
+        made = ctx.dense(apply(ctx, now, b["steps"]))
+        if made.columns != names:
+            raise ValueError("the flow of a cycle gives the columns that it takes")
+        back = F.coalesce(column(b["fn"]), F.lit(False)) & made.ok()
+        df = checkpointed(made.df.withColumns({"__df_back": back, "__df_turn": F.lit(turn)}))
+        out = df.where(~F.col("__df_back")).drop("__df_back")
+        done = out if done is None else done.unionByName(out, allowMissingColumns=True)
+        rest = df.where("__df_back").drop("__df_back", "__df_turn")
+        n = rest.count()
+        if n > o.capacity:
+            match o.overflow_policy:
+                case OverflowPolicy.FAIL:
+                    from tidemill.errors import BufferOverflowError
+
+                    raise BufferOverflowError(f"{n} elements go back through a buffer of {o.capacity}")
+                case OverflowPolicy.DROP_NEWEST:
+                    rest = rest.orderBy(SEQ).limit(o.capacity)
+                case OverflowPolicy.DROP_OLDEST:
+                    rest = rest.orderBy(F.desc(SEQ)).limit(o.capacity)
+                case OverflowPolicy.DROP_BUFFER:  # the element that finds it full empties it
+                    kept = (n - 1) % o.capacity + 1
+                    rest = rest.orderBy(F.desc(SEQ)).limit(kept)
+        if not n:
+            return made.with_df(done, order=("__df_turn", SEQ), dense=False)
+        turn += 1
+        if turn > b["most"]:
+            from tidemill.errors import DataflowError
+
+            raise DataflowError(f"elements still go back after {b['most']} rounds")
+        now = made.with_df(rest, order=(SEQ,), dense=False)
+
+
 # G: scopes
 
 

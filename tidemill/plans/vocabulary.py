@@ -13,7 +13,7 @@ SOURCES = "from-enumerable empty single repeat range from-task failed unfold fro
 FLOWS = (
     "select where scan take skip take-while take-through skip-while distinct deduplicate-consecutive select-many merge-map scan-async grouped sliding "
     "grouped-within grouped-weighted-within group-by buffer select-async select-async-unordered select-value-task-async select-value-task-async-unordered "
-    "delay initial-delay timeout take-within skip-within throttle valve fault-point supervised durable"
+    "delay initial-delay timeout take-within skip-within throttle valve fault-point supervised durable feedback"
 ).split()
 FAN_OUT = "broadcast balance partition unzip".split()
 FAN_IN = "merge concat interleave zip combine-latest".split()

@@ -215,6 +215,18 @@ class Operators:
         """control: a handle to move the valve by; by default it stays as mode says."""
         return self._add("valve", {"control": identity.segment("control name", control_name), "mode": str(mode)}, {"control": control or Valve(ValveMode(mode) == ValveMode.OPEN)})
 
+    def feedback(self, flow: Flow, again: Expr, options: BufferOptions, most_rounds: int = 1000):
+        """A cycle: elements for which `again` holds behind the flow go back to its input, the others go on.
+
+        What goes back waits in a buffer; one that only pushes back would never be relieved, so that policy is refused. The
+        buffer holds what one round sends back, in order; most_rounds bounds a cycle that does not end."""
+        options.check()
+        if options.overflow_policy == OverflowPolicy.BACKPRESSURE:
+            raise ValueError("a cycle through a buffer that pushes back can't move; choose another policy")
+        _admit("feedback", flow, ("select", "where", "select-many"))
+        params = {"capacity": options.capacity, "overflowPolicy": str(OverflowPolicy(options.overflow_policy)), "mostRounds": at_least("most_rounds", most_rounds, 1), "flow": [{"stage": k, "parameters": p} for k, p, _ in flow.steps], **_said(again)}
+        return self._add("feedback", params, {"fn": again, "steps": flow.bound, "options": options, "most": most_rounds})
+
     # scopes
     def supervised(self, options: SupervisionOptions, flow: Flow, fallback: Any = NO_FALLBACK, schema: str | None = None):
         """fallback: the element that the recover form ends with; null is one."""
@@ -376,6 +388,12 @@ class Sink:
         entry = registry.sink(stage)
         return Sink("registered-sink", params, {"write": entry.fn, "params": params, "ref": entry.ref}, name=name)
 
+    @staticmethod
+    def registered_terminal(registry, stage: str, name: str, **params) -> Sink:
+        """A provider's terminal, whose result is the slot's value."""
+        entry = registry.terminal(stage)
+        return Sink("registered-terminal", params, {"finish": entry.fn, "params": params, "ref": entry.ref}, True, name)
+
 
 @dataclass(frozen=True)
 class Branch:
