@@ -365,3 +365,11 @@ def test_keyed_python_folds_run_apart(run):
         run(TEN.group_by(GroupByOptions(2), "value % 3", flow, schema="value array<struct<value:long>>"))
     assert run(TEN.group_by(GroupByOptions(2), "value % 3", Flow().scan(fn.total("value"))).take(2)) == [1, 2], "the key past the bound is never pulled"
     assert run(TEN.group_by(GroupByOptions(3), fn.Py(lambda r: r["value"] % 3, "int"), Flow().scan(fn.counting()), key_name="k").select("k * 100 + value")) == [101, 201, 1, 102, 202, 2, 103, 203, 3, 104]
+
+
+def test_collect_orders_nulls_first_like_every_stage(spark):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("ä", 4)], "k string, v int")
+    s = S.from_frame(df, ["k"]).select({"v": "v"})
+    assert Engine(spark).run(s.to(Sink.collect(CollectOptions(4)), "r")).value("r") == [{"v": 2}, {"v": 3}, {"v": 1}, {"v": 4}]
+    with pytest.raises(CollectOverflowError):
+        Engine(spark).run(s.to(Sink.collect(CollectOptions(3)), "r"))

@@ -6,6 +6,7 @@ import itertools
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,8 +194,7 @@ class Engine:
                 for r in ok.orderBy(*s.order).select(*s.columns).toLocalIterator():
                     t.bind["channel"].put(self._plain(s, r))
             case "count":
-                self._fail(s)
-                return rows.count()
+                return self._aggregate(s, F.count(F.when(s.ok(), 1)))
             case "first" | "first-or-default":
                 found = s.df.orderBy(*s.order).limit(1).select(*s.columns, *([ERR] if s.err else [])).collect()
                 if found and s.err and found[0][ERR]:
@@ -205,6 +205,9 @@ class Engine:
                 return self._one(t, s, ok.orderBy(*[F.desc(c) for c in s.order]).limit(1).select(*s.columns).collect())
             case "collect":
                 most = t.bind["options"].max_elements
+                quick = self._collect_unsorted(s, most)
+                if quick is not None:
+                    return quick
                 found = s.df.orderBy(*s.order).limit(most + 1).select(*s.columns, *([ERR] if s.err else [])).collect()
                 for i, r in enumerate(found):
                     if s.err and r[ERR]:
@@ -213,8 +216,10 @@ class Engine:
                         raise CollectOverflowError(f"more than {most} elements")
                 return [self._plain(s, r) if not s.err else self._without_err(s, r) for r in found]
             case "fold" | "fold-async":
-                self._fail(s)
-                return self._fold(t.bind["fold"], s.with_df(ok, err=False) if not s.err else s.with_df(ok.drop(ERR), err=False))
+                if t.bind["fold"].kind in ("python", "last"):
+                    self._fail(s)
+                    return self._fold(t.bind["fold"], s.with_df(ok, err=False) if not s.err else s.with_df(ok.drop(ERR), err=False))
+                return self._total(t.bind["fold"], s)
         return None
 
     def _without_err(self, s: Stream, r) -> Any:
@@ -242,11 +247,36 @@ class Engine:
         if f.kind == "last":
             found = s.df.orderBy(*[F.desc(c) for c in s.order]).limit(1).select(column(f.value)).collect()
             return found[0][0] if found else f.seed
-        agg = F.count(F.lit(1)) if f.kind == "count" else {"sum": F.sum, "min": F.min, "max": F.max}[f.kind](column(f.value))
-        value = s.df.agg(agg).collect()[0][0]
-        if f.kind in ("sum", "count"):
-            return f.seed if value is None else value + f.seed
-        return f.seed if value is None else value
+        raise ValueError(f.kind)
+
+    def _aggregate(self, s: Stream, agg) -> Any:
+        """An aggregate of all elements in one pass, which also finds the first failure."""
+        if not s.err:
+            return s.df.agg(agg).first()[0]
+        first = F.min_by(F.when(~s.ok(), F.col(ERR)), F.when(~s.ok(), s.key()))
+        value, failed = s.df.agg(agg.alias("v"), first.alias("e")).first()
+        if failed:
+            raise_coded(failed)
+        return value
+
+    def _total(self, f: Fold, s: Stream) -> Any:
+        of = F.lit(1) if f.kind == "count" else column(f.value)
+        value = self._aggregate(s, {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[f.kind](F.when(s.ok(), of)))
+        if value is None:
+            return f.seed
+        return value + f.seed if f.kind in ("sum", "count") else value
+
+    def _collect_unsorted(self, s: Stream, most: int) -> list | None:
+        """All elements, put in order on the driver; None where there are more than may be collected, or a failure, or types
+        that Arrow and Python don't share."""
+        plain = ("int", "bigint", "double", "string", "boolean")
+        types = dict(s.df.dtypes)
+        if s.err or any(types[c] not in plain for c in s.columns) or any(types[c] not in ("int", "bigint", "string") for c in s.order) or s.df.limit(most + 1).count() > most:
+            return None
+        t = s.df.select(*s.columns, *[F.col(c).alias(f"{RESERVED}k{i}") for i, c in enumerate(s.order)]).toArrow()
+        keys = [(f"{RESERVED}k{i}", "ascending") for i in range(len(s.order))]
+        t = t.take(pc.sort_indices(t, sort_keys=keys, null_placement="at_start"))
+        return t.column("value").to_pylist() if s.columns == ["value"] else t.select(s.columns).to_pylist()
 
 
 def default_of(s: Stream) -> Any:
