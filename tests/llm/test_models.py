@@ -181,3 +181,84 @@ def test_chat_shares_turns_however_deep(spark):
         turns = [(n.parent, r.text[n.start : n.end]) for n in r.nodes]
         assert len(set(turns)) == len(turns)
     assert any(len(r.leaves) > 2 for r in got)
+
+
+def test_bundles_and_cosines_against_a_letter_at_a_time(spark):
+    """The profiles and predictions of a plain loop: each trigram's letters permuted by place, bound, and added up."""
+    d = 128
+    p = language.profiler(d)
+    symbol = lambda c: p._table[ord(c)]
+
+    def bundle(text):
+        out, before = np.zeros(d), []
+        symbols = [symbol(c) for c in f" {text.lower()} "]
+        squeezed = [x for i, x in enumerate(symbols) if i == 0 or x or symbols[i - 1]]  # runs of other characters are one
+        for a, b, c in zip(squeezed, squeezed[1:], squeezed[2:], strict=False):
+            if a or b or c:
+                out += np.roll(p.letters[a], 2).astype(int) * np.roll(p.letters[b], 1) * p.letters[c]
+        return out
+
+    texts = {"aa": ["der hund und die katze", "ein Haus, und ein Baum!"], "bb": ["the dog and the cat", "a house -- and a tree"], "cc": ["el perro y el gato", "una casa 12 y un árbol"]}
+    for some in texts.values():
+        got, _ = p.bundles(some)
+        assert np.allclose(got, [bundle(t) for t in some])
+    unit = lambda v: v / np.linalg.norm(v)
+    proto = {k: unit(sum(unit(bundle(t)) for t in some)) for k, some in texts.items()}
+    mean = sum(proto.values()) / 3
+    proto = {k: unit(v - mean) for k, v in proto.items()}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, some in texts.items() for t in some)]
+    asked = [(10 + i, t, None) for i, t in enumerate(["und der Baum", "the tree", "gato y casa", "zzz", "9"])]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    langs, learned = language.learn(docs, dimensions=d)
+    assert langs == sorted(texts) and np.allclose(learned, [proto[k] for k in langs])
+    for r in language.identify(docs, (langs, learned)).collect():
+        if not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosines = {k: float(unit(bundle(r.text)) @ v) for k, v in proto.items()}
+        best = max(cosines, key=cosines.get)
+        assert r.lang_pred == best and abs(r.score - max(cosines[best], 0)) < 1e-5
+
+
+def test_chat_without_ids_with_repeats_and_very_long(spark):
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (None, 0, "user", "a"), (7, 0, "user", "x"), (7, 0, "user", "x"), (7, None, "assistant", None)]
+    rows += [(8, t, "user" if t % 2 == 0 else "assistant", f"{t} " + "word " * 50) for t in range(900)] + [(9, 0, "user", "long " * 60_000), (9, 1, "assistant", "y" * 250_000)]
+    check_chat(spark, rows)
+
+
+def kept_by(stage, spark, rows, sf="/root/testdata/sf0.001"):
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key int, text_hash string")
+    return sorted(((r.doc_id, r.text) for r in stage(spark, docs, sf).collect()), key=str)
+
+
+def test_pipeline_stages_lose_no_row_for_its_id(spark):
+    """Null ids, ids that are repeated with other texts, and rows that are repeated: who stays, exactly."""
+    import corpus_pipeline as P
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(90)) for x in ("alpha", "beta", "gamma"))
+    rows = [(None, one), (None, two), (7, three), (7, "short words only"), (8, "other short words")]
+    assert kept_by(P.near_dedup, spark, rows) == sorted(rows, key=str)
+    assert kept_by(P.suffix_array_dedup, spark, rows) == sorted(rows, key=str)
+    assert kept_by(P.decontamination, spark, rows) == sorted(rows, key=str)
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    tainted = [(None, f"{one} {item}"), (7, item), (8, f"x {item}")]
+    assert kept_by(P.decontamination, spark, rows + tainted) == sorted(rows, key=str), "others with their ids stay"
+    twice = [(1, one), (1, one), (None, two), (None, two), (3, three), (3, f"{three} and something new")]
+    assert kept_by(P.near_dedup, spark, twice) == sorted([(1, one), (None, two), min(twice[4:], key=lambda r: spark.range(1).selectExpr(f"xxhash64('{r[1]}') AS h").first().h)], key=str)
+    assert kept_by(P.suffix_array_dedup, spark, twice) == [(3, " and something new")], "copies of 200 bytes go from all rows that hold them"
+    assert kept_by(P.decontamination, spark, twice) == sorted(twice, key=str)
+    odd = [(None, None), (1, ""), (2, " \n"), (3, "12345 67890"), (4, "the water and the land"), (None, "der Hund und die Katze und das Haus")]
+    got = kept_by(P.language_id, spark, [*odd, *[(20 + i, "the house and the tree " * 3) for i in range(5)]])
+    assert (4, odd[4][1]) in got and not {None, "", " \n", "12345 67890"} & {t for _, t in got}
+    assert kept_by(P.suffix_array_dedup, spark, odd) == sorted([(None, "") if t is None else (d, t) for d, t in odd], key=str)
+
+
+def test_pipeline_cleans_up(spark, tmp_path):
+    import corpus_pipeline as P
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(60).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = common.scratch_tables()
+    out = P.run(spark, str(tmp_path))
+    assert out.count() >= 30
+    assert [p for p in common.scratch_tables() if p not in before] == [out.stored_at]

@@ -158,3 +158,15 @@ def test_token_counts_edges(odd_docs, no_docs):
     assert len(got[got.doc_id == 4]) == 1 and got[got.doc_id == 4].n_tokens.sum() == 0
     with pytest.raises(ValueError):
         token_counts.token_counts(odd_docs, "none")
+
+
+def test_added_tokens_in_texts_are_the_librarys(library, spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x" * 30 + "<|endoftext|><|endoftext|>\nend", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packed(library, docs, 8)
+    where = common.scratch_path(spark, "files")
+    got = token_files.read_token_files(token_files.write_token_files(docs, where)).toPandas()
+    assert dict(zip(got.doc_id, got.ids_crc32, strict=True)) == {i: zlib.crc32(library(t) + END) for i, t in enumerate(texts)}
+    assert 50256 in np.frombuffer(library(texts[0]), "<u4")
+    counts = token_counts.token_counts(docs).toPandas().groupby("doc_id").n_tokens.sum()
+    assert counts.to_dict() == {i: len(library(t)) // 4 for i, t in enumerate(texts)}
