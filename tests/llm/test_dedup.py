@@ -180,7 +180,7 @@ def test_suffix_sort_orders_suffixes_and_settles_false_hashes(monkeypatch):
     order = suffix_dedup.merge_sort(s, at, np.zeros(300, dtype=int))
     raw = data.tobytes()
     assert [raw[i : i + 30] for i in at[order]] == sorted(raw[i : i + 30] for i in at)
-    bodies = [np.frombuffer(b, dtype=np.uint8) for b in (b"aaaa1", b"aaab1", b"aaaa1")]
+    bodies = [b"aaaa1", b"aaab1", b"aaaa1"]
     monkeypatch.setattr(hashing, "BYTE_VALUES", np.ones(256, dtype=np.uint64))  # every hash agrees
     found = suffix_dedup.match(np.zeros(3, dtype=np.int64), np.arange(3), bodies, np.zeros(3, dtype=np.int64), 5, False)
     assert [m.tolist() for m in found] == [[True], [False], [True]]
@@ -220,6 +220,16 @@ def test_substring_dedup_of_nothing(no_docs):
     assert substring_dedup.substring_dedup(no_docs).count() == 0
 
 
+def test_subtrees_settle_false_hashes(monkeypatch):
+    """Where every word and every sequence has one hash, the words themselves decide."""
+    bodies = [b"a b c", b"a b d", b"a b c", b"x y z"]
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(hashing, "mixed", lambda h: h * np.uint64(0))
+        found = substring_dedup.match(np.zeros(4, dtype=np.int64), np.arange(4), bodies, np.zeros(4, dtype=np.int64), 3, True)
+        assert [m.tolist() for m in found] == [[False], [False], [True], [False]]
+
+
 def test_subtree_finds_deep_nodes():
     words = hashing.mixed(np.array([1, 2, 3, 1, 2, 3, 1, 2, 9], dtype=np.uint64))
     tree = substring_dedup.Subtree(hashing.Prefix(words), np.arange(7), np.zeros(7, dtype=int), 3)

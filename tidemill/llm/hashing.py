@@ -39,15 +39,11 @@ class Prefix:
 
     def __init__(self, values: np.ndarray, base: int = BASE, inverse: int = BASE_INVERSE):
         n = len(values)
-        self.n, self.values = n, values
+        self.n = n
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values * powers(base, n), out=self.sums[1:])
         self.down = powers(inverse, n + 1)
 
-    def second(self) -> "Prefix":
-        """Of the same sequence, by an independent base."""
-        return Prefix(self.values, SECOND_BASE, SECOND_INVERSE)
-
     def every(self, width: int) -> np.ndarray:
         """Mixed hashes of all stretches of this width."""
         if self.n < width:

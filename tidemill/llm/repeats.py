@@ -3,8 +3,8 @@
 Window starts that share a minimizer anchor form a zone. Equal windows have equal anchors at equal offsets, so:
 
 1. Zones are counted by their anchor's gram. A zone whose gram stands nowhere else has no repeated window.
-2. Zones that agree in two independent 64-bit hashes of all their symbols, beside that of the gram, repeat all their
-   windows; one of each such set goes on.
+2. Zones that agree in two unlike 64-bit hashes of the whole, one of their symbols and one of their bytes, beside that of
+   the gram, repeat all their windows; one of each such set goes on.
 3. What is left, the zones at the edges of copied stretches, is sent with its symbols to the task of its gram (the
    prefix that its suffixes run through), where the operator's own structure compares the suffixes. A gram with more
    than HOT zones is split by the prefix of whole windows instead, as hashes of two bases, counted before they are shuffled.
@@ -16,7 +16,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, hashing
@@ -27,10 +28,14 @@ HOT = 512
 STRIP = 8
 #: Symbols taken at a time; a longer document is cut into chunks that overlap by a window.
 CHUNK = 1 << 17
+#: Bytes of zones that are compared at a time; more only if they are of one gram.
+COMPARED = 1 << 19
 #: What becomes of a zone: all its windows are repeated; still open; stands for equal ones; and the latter two where the gram is hot.
 REPEATED, OPEN, STANDS, OPEN_HOT, STANDS_HOT = range(5)
 
+#: Hashes of the symbols of texts; and the bytes of one text's symbols with, where a symbol is not a byte, the place of each.
 Reader = Callable[[list[bytes]], list[np.ndarray]]
+Plain = Callable[[bytes], tuple[bytes, np.ndarray | None]]
 
 
 def document_zones(values: list[np.ndarray], window: int, gram: int) -> Iterator[tuple[int, int, hashing.Prefix, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -60,18 +65,26 @@ def document_zones(values: list[np.ndarray], window: int, gram: int) -> Iterator
         i += len(some)
 
 
-def zone_rows(keyed: DataFrame, read: Reader, window: int, gram: int) -> DataFrame:
-    """k (gram hash), u and v (hashes of the whole zone by two bases), doc, th and lo of every zone."""
+def byte_ranges(places: np.ndarray | None, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where symbols [lo, end) begin and end in the bytes; one byte stands between symbols that are not bytes."""
+    return (lo, end) if places is None else (places[lo], places[end] - 1)
+
+
+def zone_rows(keyed: DataFrame, read: Reader, plain: Plain, window: int, gram: int) -> DataFrame:
+    """k (gram hash), u and v (hashes of the whole zone, of its symbols and of its bytes), doc, th and lo of every zone."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             doc, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             cols: list[list] = [[], [], [], [], [], []]
-            prefix = second = None
-            for i, base, p, lo, hi, _, k in document_zones(read(common.texts_of(batch)), window, gram):
-                if p is not prefix:
-                    prefix, second = p, p.second()
-                for c, x in zip(cols, (k.view(np.int64), p.of(lo, hi + window).view(np.int64), second.of(lo, hi + window).view(np.int64), np.full(len(lo), doc[i]), np.full(len(lo), th[i]), lo - base), strict=True):
+            texts = common.texts_of(batch)
+            last, data, places = -1, b"", None
+            for i, base, prefix, lo, hi, _, k in document_zones(read(texts), window, gram):
+                if i != last:
+                    last, (data, places) = i, plain(texts[i])
+                starts, ends = byte_ranges(places, lo - base, hi + window - base)
+                v = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+                for c, x in zip(cols, (k.view(np.int64), prefix.of(lo, hi + window).view(np.int64), v.view(np.int64), np.full(len(lo), doc[i]), np.full(len(lo), th[i]), lo - base), strict=True):
                     c.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["k", "u", "v", "doc", "th", "lo"])
@@ -147,13 +160,14 @@ def covered(starts: np.ndarray, last: np.ndarray, window: int, n: int) -> tuple[
     return mask, int((mask & ~np.concatenate(([False], mask[:-1]))).sum()) if n else 0
 
 
-def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier: bool, match: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: pa.Schema, result_ddl: str, symbol: np.dtype, with_hash: bool = False) -> DataFrame:
+def mark_repeats(docs: DataFrame, read: Reader, plain: Plain, window: int, gram: int, earlier: bool, match: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: pa.Schema, result_ddl: str, with_hash: bool = False) -> DataFrame:
     """For every document, doc_id and finish(text, starts, last) for the intervals of repeated window starts; if with_hash,
     text_hash too, the text's xxhash64.
 
-    match(keys, docs, bodies, heads, offsets, open, earlier) compares the suffixes of zones and returns a mask for each."""
+    match(keys, docs, bodies, heads, window, earlier) compares the suffixes of zones, given as bytes, and returns a mask of
+    their windows for each."""
     keyed = common.doc_keys(docs)
-    flags, any_hot, used = decide(zone_rows(keyed, read, window, gram), earlier)
+    flags, any_hot, used = decide(zone_rows(keyed, read, plain, window, gram), earlier)
     names = result.names
     strip = max(1, min(STRIP, window // 2))
     base = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("waits", pa.bool_()), ("sends", pa.bool_()), ("los", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("s", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), *result])
@@ -202,12 +216,13 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
         for batch in common.pieces(batches, 64):
             doc, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             texts = batch.column(2).to_pylist()
-            kept: dict[int, np.ndarray] = {}
+            last, data, places = -1, b"", None
             out: list[list] = [[] for _ in range(7)]
             for i, kind, _, lo, hi, anchor, k, at, _ in open_zones(batch, (OPEN, STANDS)):
-                if i not in kept:
-                    kept = {i: np.frombuffer(texts[i], dtype=np.uint8) if symbol == np.uint8 else read([texts[i]])[0]}
-                for c, x in zip(out, (np.uint64(k).view(np.int64), doc[i], th[i], lo - at, anchor - lo, kind == OPEN, kept[i][lo - at : hi - at + window].tobytes()), strict=True):
+                if i != last:
+                    last, (data, places) = i, plain(texts[i])
+                a, b = byte_ranges(places, lo - at, hi - at + window)
+                for c, x in zip(out, (np.uint64(k).view(np.int64), doc[i], th[i], lo - at, anchor - lo, kind == OPEN, data[a:b]), strict=True):
                     c.append(x)
             if out[0]:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
@@ -237,12 +252,10 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
                 lists = [pa.array([x for c in out[k] for x in c], pa.list_(pa.int64())) for k in (8, 9)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out[:8]), *lists], names=["h1", "h2", "doc", "th", "s", "e", "open", "core", "w1", "w2"])
 
-    width = np.dtype(symbol).itemsize
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
-            body = [np.frombuffer(x, dtype=symbol) for x in t.column("body").to_pylist()]
+            body = t.column("body").to_pylist()
             key, doc, lo, head, is_open = (np.asarray(t.column(c)) for c in ("key", "doc", "lo", "head", "open"))
             found = match(key, doc, body, head, window, earlier)
             s, e, row = [], [], []
@@ -272,7 +285,7 @@ def mark_repeats(docs: DataFrame, read: Reader, window: int, gram: int, earlier:
                 held.append(batch)
                 size += batch.nbytes
                 continue
-            if size > (1 << 19) * width:
+            if size > COMPARED:
                 yield answer(held)
                 held, size = [], 0
             held.append(batch.slice(cut))

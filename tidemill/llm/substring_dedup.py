@@ -24,6 +24,31 @@ def read_words(texts: list[bytes]) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(starts, np.cumsum(lengths)[:-1]))
 
 
+def plain_words(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The words joined by one space, and where each begins; bytes.split() parts at the six separators."""
+    words = text.split()
+    return b" ".join(words), np.concatenate(([0], np.cumsum([len(w) + 1 for w in words], dtype=np.int64)))
+
+
+def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of texts: their hashes, a number for each different word, told apart by its bytes, and where each text begins."""
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    starts, ends = common.word_bounds(data, common.SPACES)
+    h = hashing.Prefix(hashing.BYTE_VALUES[data]).of(starts, ends)
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    size, of = ends - starts, first[ids]
+    same = bool((size == size[of]).all())
+    if same:
+        reach = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        same = bool((data[np.repeat(starts, size) + reach] == data[np.repeat(starts[of], size) + reach]).all())
+    if not same:  # two words with one hash
+        known: dict[bytes, int] = {}
+        raw = data.tobytes()
+        ids = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    begins = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    return h, ids.astype(np.int32), begins
+
+
 class Subtree:
     """The part of a suffix tree below a prefix, built a level at a time.
 
@@ -55,25 +80,37 @@ class Subtree:
         self.node[active] = path
 
 
-def match(key: np.ndarray, doc: np.ndarray, bodies: list[np.ndarray], head: np.ndarray, window: int, earlier: bool) -> list[np.ndarray]:
-    """For each zone, which of its windows end below a deep internal node with a leaf of an earlier document."""
-    sizes = np.array([len(b) - window + 1 for b in bodies])
-    prefix = hashing.Prefix(np.concatenate(bodies))
-    base = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))[:-1]
+def match(key: np.ndarray, doc: np.ndarray, bodies: list[bytes], head: np.ndarray, window: int, earlier: bool) -> list[np.ndarray]:
+    """For each zone, which of its windows end below a deep internal node with a leaf of an earlier document. The tree is
+    built by hashes; the words of all suffixes below a deep node are then compared with those of its first one."""
+    h, ids, begins = word_ids(bodies)
+    sizes = np.diff(begins) - window + 1
     zone = np.repeat(np.arange(len(bodies)), sizes)
     step = np.arange(len(zone)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = begins[:-1][zone] + step
     order = np.lexsort((head[zone] - step, key[zone]))
     k, off = key[zone][order], (head[zone] - step)[order]
     group = np.empty(len(zone), dtype=np.int64)
     group[order] = np.cumsum(np.concatenate(([True], (k[1:] != k[:-1]) | (off[1:] != off[:-1]))))
-    tree = Subtree(prefix, base[zone] + step, group, window)
+    node = Subtree(hashing.Prefix(h), at, group, window).node
     out = np.zeros(len(zone), dtype=bool)
-    deep = np.flatnonzero(tree.node >= 0)
+    deep = np.flatnonzero(node >= 0)
     if len(deep):
-        nodes, place = np.unique(tree.node[deep], return_inverse=True)
-        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        _, first, place = np.unique(node[deep], return_index=True, return_inverse=True)
+        wrong: set[int] = set()
+        reach = np.arange(window)
+        for i in range(0, len(deep), 20_000):
+            some = slice(i, i + 20_000)
+            equal = (ids[at[deep[some]][:, None] + reach] == ids[at[deep[first[place[some]]]][:, None] + reach]).all(axis=1)
+            wrong.update(place[some][~equal].tolist())
+        for g in wrong:  # different words with one hash: settle the node by its words
+            parts: dict[bytes, int] = {}
+            for i in np.flatnonzero(place == g):
+                place[i] = parts.setdefault(ids[at[deep[i]] : at[deep[i]] + window].tobytes(), place.max() + 1)
+        least = np.full(place.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, place, doc[zone[deep]])
-        out[deep] = least[place] < doc[zone[deep]] if earlier else True
+        several = np.bincount(place)[place] > 1
+        out[deep] = least[place] < doc[zone[deep]] if earlier else several
     return np.split(out, np.cumsum(sizes)[:-1])
 
 
@@ -86,7 +123,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
 
     A null or empty text has no words. Rows that repeat a doc_id have no smaller id among them, so they take nothing
     from each other. A null doc_id counts as smallest and stays null. An empty table gives no rows. Other columns are
-    ignored. Words are compared by 64-bit hashes."""
+    ignored. Whole zones that are copies are told by 192 bits of hashes; in the subtrees words are compared as they are."""
     gram = min(GRAM, max(1, window // 3))
 
     def finish(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
@@ -99,4 +136,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
 
     schema = RESULT.append(pa.field("kept_text", pa.string())) if with_text else RESULT
     ddl = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return repeats.mark_repeats(docs, read_words, window, gram, True, match, finish, schema, ddl, np.uint64)
+    return repeats.mark_repeats(docs, read_words, plain_words, window, gram, True, match, finish, schema, ddl)

@@ -19,6 +19,10 @@ def read_bytes(texts: list[bytes]) -> list[np.ndarray]:
     return [hashing.BYTE_VALUES[np.frombuffer(t, dtype=np.uint8)] for t in texts]
 
 
+def plain_bytes(text: bytes) -> tuple[bytes, None]:
+    return text, None
+
+
 class Suffixes:
     """Suffixes of a text, compared over their first `window` bytes by prefix hashes."""
 
@@ -81,12 +85,12 @@ def merge_sort(s: Suffixes, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     return order
 
 
-def match(key: np.ndarray, doc: np.ndarray, bodies: list[np.ndarray], head: np.ndarray, window: int, earlier: bool) -> list[np.ndarray]:
+def match(key: np.ndarray, doc: np.ndarray, bodies: list[bytes], head: np.ndarray, window: int, earlier: bool) -> list[np.ndarray]:
     """For each zone, which of its window starts have an equal window among the others. Windows are put in groups of
     the same gram at the same offset; each group's suffixes are sorted and neighbours with `window` bytes in common
     are equal, which their bytes then have to confirm."""
     sizes = np.array([len(b) - window + 1 for b in bodies])
-    data = np.concatenate(bodies)
+    data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
     base = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))[:-1]
     zone = np.repeat(np.arange(len(bodies)), sizes)
     step = np.arange(len(zone)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -143,4 +147,4 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False)
 
     schema = RESULT.append(pa.field("kept_text", pa.string())) if with_text else RESULT
     ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return repeats.mark_repeats(docs, read_bytes, window, gram, False, match, finish, schema, ddl, np.uint8, with_hash=with_text)
+    return repeats.mark_repeats(docs, read_bytes, plain_bytes, window, gram, False, match, finish, schema, ddl, with_hash=with_text)
