@@ -1,8 +1,12 @@
 import pytest
 
+from tidemill import functions as fn
+from tidemill import sources as S
 from tidemill import streaming
+from tidemill.engine import Engine
 from tidemill.errors import CheckpointConflictError, PipelineResumeRefusedError
 from tidemill.options import DurableRunOptions
+from tidemill.stream import Flow, Sink
 
 
 def test_durable_run_resumes_where_it_stood(spark, tmp_path):
@@ -41,3 +45,73 @@ def test_durable_run_resumes_where_it_stood(spark, tmp_path):
 def test_full_ingress_pushes_back(spark, tmp_path):
     drop = streaming.DropFolder(spark, str(tmp_path / "in"), "i long", 1)
     assert [drop.offer((1,)), drop.offer((2,))] == ["accepted", "full"]
+
+
+def graph_over(folder, stop=100):
+    letters = fn.fold((), lambda s, r: tuple(sorted({*s, r["value"]})), "array<string>")
+    s = S.files("parquet", str(folder), ["i"], schema="i long, k string")
+    numbers = s.where("i % 2 = 0").named("even").durable(Flow().select("i").skip(1).scan(fn.total("value", 1000)).take(stop)).named("sums")
+    words = s.select("k").named("word").durable(Flow().scan_durable(letters, list, tuple)).named("seen")
+    return numbers.to(Sink.ignore().named("end")), words.to(Sink.ignore().named("end"))
+
+
+def test_durable_run_of_a_graph_goes_on_from_its_states(spark, tmp_path):
+    engine, folder = Engine(spark), tmp_path / "in"
+    folder.mkdir()
+
+    def put(first, last, k):
+        spark.createDataFrame([(i, k) for i in range(first, last)], "i long, k string").coalesce(1).write.mode("append").parquet(str(folder))
+
+    numbers, words = graph_over(folder, 12)
+    got = {"sums": [], "words": []}
+
+    def go(name, graph, resume):
+        run = streaming.run_durable(engine, graph, DurableRunOptions(str(tmp_path / "runs"), name), lambda df, _: got[name].extend(r.value for r in df.collect()), resume, 1)
+        run.shutdown()
+        return run
+
+    put(0, 10, "x")
+    assert go("sums", numbers, False).snapshot["status"] == "stopped"
+    go("words", words, False)
+    put(10, 17, "a")
+    put(17, 40, "m")
+    go("sums", numbers, True)
+    go("words", words, True)
+    want, total = [], 1000
+    for i in range(2, 40, 2):
+        total += i
+        want.append(total)
+    assert got["sums"] == want[:12]
+    assert got["words"][0] == ["x"] and got["words"][9] == ["x"] and got["words"][10] == ["a", "x"] and got["words"][-1] == ["a", "m", "x"]
+    with pytest.raises(PipelineResumeRefusedError, match="another graph"):
+        go("sums", words, True)
+    with pytest.raises(CheckpointConflictError):
+        go("sums", numbers, False)
+    with pytest.raises(ValueError, match="carries state"):
+        go("other", S.files("parquet", str(folder), ["i"], schema="i long, k string").scan(fn.total("i")).to(Sink.ignore()), False)
+    with pytest.raises(ValueError, match="files_per_trigger"):
+        streaming.run_durable(engine, numbers, DurableRunOptions(str(tmp_path / "runs"), "x", every_elements=5), lambda df, _: None)
+
+
+def test_a_batch_that_fails_runs_again_from_the_same_states(spark, tmp_path):
+    engine, folder = Engine(spark), tmp_path / "in"
+    for first in (0, 10):
+        spark.createDataFrame([(i, "k") for i in range(first, first + 10)], "i long, k string").coalesce(1).write.mode("append").parquet(str(folder))
+    graph, _ = graph_over(folder)
+    options, got, broken = DurableRunOptions(str(tmp_path / "runs"), "again"), [], [True]
+
+    def write(df, i):
+        rows = [r.value for r in df.collect()]
+        if i == 1 and broken[0]:
+            raise RuntimeError("the sink is away")
+        got.extend(rows)
+
+    with pytest.raises(Exception, match="the sink is away"):
+        streaming.run_durable(engine, graph, options, write, files_per_trigger=1).shutdown()
+    broken[0] = False
+    streaming.run_durable(engine, graph, options, write, True, 1).shutdown()
+    want, total = [], 1000
+    for i in range(2, 20, 2):
+        total += i
+        want.append(total)
+    assert got == want

@@ -100,8 +100,11 @@ class Engine:
         return bool(node.inputs)
 
     def _source(self, node: Node) -> Stream:
+        return self.placed(node, node.bind["frame"](self.spark))
+
+    def placed(self, node: Node, df: DataFrame) -> Stream:
+        """The rows of a source, in its order."""
         b = node.bind
-        df: DataFrame = b["frame"](self.spark)
         dense, time = b.get("dense"), b.get("time")
         if time:
             stamp = F.col(time)

@@ -52,7 +52,12 @@ def files(fmt: str, path: str, order: list[str], time: str | None = None, schema
         r = spark.read.format(fmt).options(**options)
         return (r.schema(schema) if schema else r).load(path)
 
-    return frame_source(make, order, "from-enumerable", {"format": fmt, "path": path, "order": list(order)}, time)
+    def stream(spark: SparkSession, files_per_trigger: int | None) -> DataFrame:
+        r = spark.readStream.format(fmt).options(**options).schema(schema)
+        return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).load(path)
+
+    live = {"stream": stream} if schema else {}
+    return frame_source(make, order, "from-enumerable", {"format": fmt, "path": path, "order": list(order)}, time, **live)
 
 
 def parquet(path: str, order: list[str], time: str | None = None) -> Source:
