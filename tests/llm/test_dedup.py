@@ -131,6 +131,12 @@ def test_pipeline_drops_only_near_copies(spark):
 # suffixes
 
 
+def check_match(found, want):
+    n, whole, masks = found
+    got = [[True] * int(n[i]) if whole[i] else masks[i].tolist() if i in masks else [False] * int(n[i]) for i in range(len(n))]
+    assert got == want
+
+
 def brute_suffix(rows, window):
     texts = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + window] for b in texts for i in range(len(b) - window + 1))
@@ -145,10 +151,11 @@ def brute_suffix(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 1], ids=["by-gram", "by-window"])
+@pytest.mark.parametrize(("hot", "proven"), [(512, 4), (512, 1), (1, 4), (2, 1), (512, 1000)])
 @pytest.mark.parametrize("window", [200, 24])
-def test_suffix_dedup(spark, odd_docs, sample, monkeypatch, hot, window):
+def test_suffix_dedup(spark, odd_docs, sample, monkeypatch, hot, proven, window):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PROVEN", proven)
     docs = sample.select("doc_id", "text").limit(80).union(odd_docs.where("length(text) < 5000 OR text IS NULL").select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -183,7 +190,7 @@ def test_suffix_sort_orders_suffixes_and_settles_false_hashes(monkeypatch):
     bodies = [b"aaaa1", b"aaab1", b"aaaa1"]
     monkeypatch.setattr(hashing, "BYTE_VALUES", np.ones(256, dtype=np.uint64))  # every hash agrees
     found = suffix_dedup.match(np.zeros(3, dtype=np.int64), np.arange(3), bodies, np.zeros(3, dtype=np.int64), 5, False)
-    assert [m.tolist() for m in found] == [[True], [False], [True]]
+    check_match(found, [[True], [False], [True]])
 
 
 # words
@@ -205,10 +212,11 @@ def brute_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 1], ids=["by-gram", "by-window"])
+@pytest.mark.parametrize(("hot", "proven"), [(512, 4), (512, 1), (1, 4), (2, 1), (512, 1000)])
 @pytest.mark.parametrize("window", [50, 6])
-def test_substring_dedup(spark, odd_docs, sample, monkeypatch, hot, window):
+def test_substring_dedup(spark, odd_docs, sample, monkeypatch, hot, proven, window):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PROVEN", proven)
     docs = sample.select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -227,7 +235,7 @@ def test_subtrees_settle_false_hashes(monkeypatch):
         if broken:
             monkeypatch.setattr(hashing, "mixed", lambda h: h * np.uint64(0))
         found = substring_dedup.match(np.zeros(4, dtype=np.int64), np.arange(4), bodies, np.zeros(4, dtype=np.int64), 3, True)
-        assert [m.tolist() for m in found] == [[False], [False], [True], [False]]
+        check_match(found, [[False], [False], [True], [False]])
 
 
 def test_subtree_finds_deep_nodes():

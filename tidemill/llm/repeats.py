@@ -3,11 +3,14 @@
 Window starts that share a minimizer anchor form a zone. Equal windows have equal anchors at equal offsets, so:
 
 1. Zones are counted by their anchor's gram. A zone whose gram stands nowhere else has no repeated window.
-2. Zones that agree in two unlike 64-bit hashes of the whole, one of their symbols and one of their bytes, beside that of
-   the gram, repeat all their windows; one of each such set goes on.
-3. What is left, the zones at the edges of copied stretches, is sent with its symbols to the task of its gram (the
-   prefix that its suffixes run through), where the operator's own structure compares the suffixes. A gram with more
-   than HOT zones is split by the prefix of whole windows instead, as hashes of two bases, counted before they are shuffled.
+2. Zones of repeated grams are sent with their bytes to the task of their gram (the prefix that their suffixes run
+   through). There, zones that are equal byte for byte are one, and the operator's own structure compares the suffixes of
+   those that differ.
+3. Of more than PROVEN zones that agree in two unlike 64-bit hashes of the whole, one of their symbols and one of their
+   bytes, beside that of the gram, only one is sent, and all repeat all their windows: a passage with very many copies
+   costs no task more than one of them.
+4. A gram with more than HOT zones to be sent is split by longer prefixes instead: by what all windows of a strip have in
+   common, and then by whole windows, as hashes of two bases, counted before they are shuffled.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-#: Zones of one gram up to which they meet in one task.
+#: Zones of one gram up to which they meet in one task; equal zones up to which each is sent and compared by its bytes.
 HOT = 512
+PROVEN = 4
 #: Windows of a strip, in which hot zones are compared at first.
 STRIP = 8
 #: Symbols taken at a time; a longer document is cut into chunks that overlap by a window.
@@ -98,20 +102,19 @@ def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool, list[DataF
 
     earlier: a window is repeated if it occurs in a document with a smaller id; else, if it occurs anywhere else."""
     grams = zones.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
-    grams = grams.where("d0 < d1" if earlier else "c > 1").select("k", ((F.col("u0") == F.col("u1")) & (F.col("v0") == F.col("v1"))).alias("same"), "d0")
+    same = (F.col("u0") == F.col("u1")) & (F.col("v0") == F.col("v1"))
+    grams = grams.where("d0 < d1" if earlier else "c > 1").select("k", same.alias("same"), (F.col("c") > PROVEN).alias("many"), "d0")
     grams = common.stored(grams, "grams")  # so that the join below can deal a hot gram to many tasks
     met = common.stored(zones.join(grams, "k"), "zones")
     common.discard(grams)
-    equal = met.where("same AND doc > d0" if earlier else "same").select("doc", "th", "lo", F.lit(REPEATED).alias("kind"))
+    alone = F.when(F.col("doc") > F.col("d0"), OPEN).otherwise(STANDS) if earlier else F.lit(OPEN)
+    equal = met.where("same AND (NOT many OR doc > d0)" if earlier else "same").select("doc", "th", "lo", F.when(F.col("many"), REPEATED).otherwise(alone).cast("int").alias("kind"))
     mixed = met.where("NOT same").select("k", "u", "v", "doc", "th", "lo", "d0")
     first = F.struct("doc", "th", "lo")
-    whole = mixed.groupBy("k", "u", "v").agg(F.count(F.lit(1)).alias("c"), F.min(first).alias("first"))
-    if earlier:
-        kind = F.when(F.col("doc") > F.col("first.doc"), REPEATED).when(F.col("doc") > F.col("d0"), OPEN).otherwise(STANDS)
-    else:
-        kind = F.when(F.col("c") == 1, OPEN).otherwise(REPEATED)
+    whole = mixed.groupBy("k", "u", "v").agg(F.count(F.lit(1)).alias("c"), F.min(first).alias("first")).where(f"c > {PROVEN}")
     whole = common.stored(whole, "whole")
-    mixed = mixed.join(whole, ["k", "u", "v"]).select("k", "doc", "th", "lo", kind.alias("kind"), (F.col("c") > 1).alias("several"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
+    copied = F.col("c").isNotNull() & (F.col("doc") > F.col("first.doc") if earlier else F.lit(True))
+    mixed = mixed.join(whole, ["k", "u", "v"], "left").select("k", "doc", "th", "lo", F.when(copied, REPEATED).otherwise(alone).cast("int").alias("kind"), F.coalesce(F.struct("doc", "th", "lo") == F.col("first"), F.lit(False)).alias("is_first"))
     mixed = common.stored(mixed, "mixed")
     common.discard(whole)
     sent = mixed.where(f"kind <> {REPEATED}" + ("" if earlier else " OR is_first")).select("k", "doc", "th", "lo", F.when(F.col("kind") == REPEATED, STANDS).otherwise(F.col("kind")).alias("kind"))
@@ -123,6 +126,45 @@ def decide(zones: DataFrame, earlier: bool) -> tuple[DataFrame, bool, list[DataF
     return by_doc, hot.limit(1).count() > 0, [met, mixed, hot]
 
 
+def equal_zones(key: np.ndarray, head: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray, prefix: hashing.Prefix) -> np.ndarray:
+    """A number for each different zone of a key: zones at data[start : start + size] that are equal and have their anchor at
+    one place. Found by hashes, confirmed symbol by symbol."""
+    u = prefix.of(start, start + size)
+    order = np.lexsort((u, size, head, key))
+    new = np.concatenate(([True], np.diff(key[order]) != 0)) | np.concatenate(([True], (np.diff(head[order]) != 0) | (np.diff(size[order]) != 0) | (u[order][1:] != u[order][:-1])))
+    number = np.empty(len(key), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    wrong: set[int] = set()
+    others = np.flatnonzero(first[number] != np.arange(len(key)))
+    for at in range(0, len(others), 10_000):
+        i = others[at : at + 10_000]
+        n = size[i]
+        reach = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = data[np.repeat(start[i], n) + reach] == data[np.repeat(start[first[number[i]]], n) + reach]
+        if not equal.all():
+            wrong.update(number[i[np.unique(np.repeat(np.arange(len(i)), n)[~equal])]].tolist())
+    for g in wrong:  # different zones with one hash
+        parts: dict[bytes, int] = {}
+        for i in np.flatnonzero(number == g):
+            number[i] = parts.setdefault(data[start[i] : start[i] + size[i]].tobytes(), number.max() + 1)
+    return np.unique(number, return_inverse=True)[1]
+
+
+def by_zones(key: np.ndarray, doc: np.ndarray, zone: np.ndarray, earlier: bool, windows: Callable[[np.ndarray], list[np.ndarray]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Which zones repeat all their windows because they are equal to others, and masks of the windows of those that may
+    repeat some. zone: numbers of equal_zones; windows(zones) compares the windows of zones that differ."""
+    order = np.lexsort((doc, zone))
+    rep = order[np.concatenate(([True], np.diff(zone[order]) != 0))]  # of each, that of the least document
+    whole = doc > doc[rep][zone] if earlier else np.bincount(zone)[zone] > 1
+    by_key = np.argsort(key[rep], kind="stable")
+    same = np.diff(key[rep][by_key]) == 0
+    contested = rep[by_key][np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    masks = dict(zip(contested.tolist(), windows(contested), strict=True)) if len(contested) else {}
+    found = {i: masks[r] for i, r in enumerate(rep[zone].tolist()) if r in masks and not whole[i]} if masks else {}
+    return whole, found
+
+
 def hot_spans(strips: DataFrame, earlier: bool) -> DataFrame:
     """doc, th, s, e of the repeated window starts of open strips, runs of STRIP windows of a hot gram.
 
@@ -164,8 +206,8 @@ def mark_repeats(docs: DataFrame, read: Reader, plain: Plain, window: int, gram:
     """For every document, doc_id and finish(text, starts, last) for the intervals of repeated window starts; if with_hash,
     text_hash too, the text's xxhash64.
 
-    match(keys, docs, bodies, heads, window, earlier) compares the suffixes of zones, given as bytes, and returns a mask of
-    their windows for each."""
+    match(keys, docs, bodies, heads, window, earlier) compares the suffixes of zones, given as bytes, and returns the number of
+    windows of each, which repeat all of them, and masks of others."""
     keyed = common.doc_keys(docs)
     flags, any_hot, used = decide(zone_rows(keyed, read, plain, window, gram), earlier)
     names = result.names
@@ -202,31 +244,36 @@ def mark_repeats(docs: DataFrame, read: Reader, plain: Plain, window: int, gram:
     common.discard(*used)
 
     def open_zones(batch: pa.RecordBatch, wanted: tuple[int, int]) -> Iterator[tuple]:
-        """(row, kind, prefix, lo, hi, anchor, gram hash, offset, values) of zones of the wanted kinds."""
+        """(row, kinds, prefix, lo, hi, anchor, gram hash, offset) of the zones of the wanted kinds in a stretch of a row."""
         texts = batch.column(2).to_pylist()
-        los, kinds = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        rows = [i for i, k in enumerate(kinds) if wanted[0] in k or wanted[1] in k]
-        values = read([texts[i] for i in rows])
-        for j, at, prefix, lo, hi, anchor, k in document_zones(values, window, gram):
-            known = {x: y for x, y in zip(los[rows[j]], kinds[rows[j]], strict=True) if y in wanted}
-            for z in np.flatnonzero(np.isin(lo - at, np.fromiter(known, dtype=np.int64))):
-                yield rows[j], known[int(lo[z] - at)], prefix, int(lo[z]), int(hi[z]), int(anchor[z]), int(k[z]), at, j
+        lists = [batch.column(c) for c in (3, 4)]
+        cuts = np.asarray(lists[0].offsets)
+        los, kinds = (np.asarray(x.values) for x in lists)
+        rows = [i for i in range(len(texts)) if np.isin(kinds[cuts[i] : cuts[i + 1]], wanted).any()]
+        for j, at, prefix, lo, hi, anchor, k in document_zones(read([texts[i] for i in rows]), window, gram):
+            own = slice(cuts[rows[j]], cuts[rows[j] + 1])
+            order = np.argsort(los[own])
+            known, kind = los[own][order], kinds[own][order]
+            place = np.minimum(np.searchsorted(known, lo - at), len(known) - 1)
+            take = np.flatnonzero((known[place] == lo - at) & np.isin(kind[place], wanted))
+            if len(take):
+                yield rows[j], kind[place[take]], prefix, lo[take], hi[take], anchor[take], k[take], at
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, 64):
             doc, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            texts = batch.column(2).to_pylist()
             last, data, places = -1, b"", None
-            out: list[list] = [[] for _ in range(7)]
-            for i, kind, _, lo, hi, anchor, k, at, _ in open_zones(batch, (OPEN, STANDS)):
+            out: list[list] = [[] for _ in range(6)]
+            bodies: list[bytes] = []
+            for i, kind, _, lo, hi, anchor, k, at in open_zones(batch, (OPEN, STANDS)):
                 if i != last:
-                    last, (data, places) = i, plain(texts[i])
-                a, b = byte_ranges(places, lo - at, hi - at + window)
-                for c, x in zip(out, (np.uint64(k).view(np.int64), doc[i], th[i], lo - at, anchor - lo, kind == OPEN, data[a:b]), strict=True):
+                    last, (data, places) = i, plain(batch.column(2)[i].as_py())
+                starts, ends = byte_ranges(places, lo - at, hi - at + window)
+                bodies += [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                for c, x in zip(out, (k.view(np.int64), np.full(len(lo), doc[i]), np.full(len(lo), th[i]), lo - at, (anchor - lo).astype(np.int32), kind == OPEN), strict=True):
                     c.append(x)
-            if out[0]:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "doc", "th", "lo", "head", "open", "body"])
+            if bodies:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out), pa.array(bodies, pa.binary())], names=["key", "doc", "th", "lo", "head", "open", "body"])
 
     def send_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, 64):
@@ -234,7 +281,8 @@ def mark_repeats(docs: DataFrame, read: Reader, plain: Plain, window: int, gram:
             texts = batch.column(2).to_pylist()
             second: dict[int, np.ndarray] = {}
             out: list[list] = [[] for _ in range(10)]
-            for i, kind, prefix, lo, hi, anchor, _, at, _ in open_zones(batch, (OPEN_HOT, STANDS_HOT)):
+            hot_zones = ((i, kinds[z], prefix, int(lo[z]), int(hi[z]), int(anchor[z]), at) for i, kinds, prefix, lo, hi, anchor, _, at in open_zones(batch, (OPEN_HOT, STANDS_HOT)) for z in range(len(lo)))
+            for i, kind, prefix, lo, hi, anchor, at in hot_zones:
                 if i not in second:
                     second = {i: hashing.Prefix(read([texts[i]])[0], hashing.SECOND_BASE, hashing.SECOND_INVERSE)}
                 s = np.arange(lo, hi + 1)
@@ -257,16 +305,15 @@ def mark_repeats(docs: DataFrame, read: Reader, plain: Plain, window: int, gram:
             t = pa.Table.from_batches(parts).combine_chunks()
             body = t.column("body").to_pylist()
             key, doc, lo, head, is_open = (np.asarray(t.column(c)) for c in ("key", "doc", "lo", "head", "open"))
-            found = match(key, doc, body, head, window, earlier)
-            s, e, row = [], [], []
-            for i, m in enumerate(found):
+            n, whole, found = match(key, doc, body, head, window, earlier)
+            at = np.flatnonzero(whole & is_open)
+            s, e, row = [lo[at]], [lo[at] + n[at] - 1], [at]
+            for i, m in found.items():
                 if is_open[i] and m.any():
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], m.astype(np.int8), [0]))))
                     s.append(lo[i] + edge[::2])
                     e.append(lo[i] + edge[1::2] - 1)
                     row.append(np.full(len(edge) // 2, i))
-            if not row:
-                return pa.RecordBatch.from_pydict({"doc": pa.array([], pa.int64()), "th": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "e": pa.array([], pa.int64())})
             row = np.concatenate(row)
             return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(np.asarray(t.column("th"))[row]), pa.array(np.concatenate(s)), pa.array(np.concatenate(e))], names=["doc", "th", "s", "e"])
 

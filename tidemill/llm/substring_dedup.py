@@ -80,19 +80,30 @@ class Subtree:
         self.node[active] = path
 
 
-def match(key: np.ndarray, doc: np.ndarray, bodies: list[bytes], head: np.ndarray, window: int, earlier: bool) -> list[np.ndarray]:
+def match(key: np.ndarray, doc: np.ndarray, bodies: list[bytes], head: np.ndarray, window: int, earlier: bool) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The number of windows of each zone; which zones are equal to earlier ones; and masks of the windows of those that differ."""
+    h, ids, begins = word_ids(bodies)
+    length = np.diff(begins)
+    prefix = hashing.Prefix(h)
+    zone = repeats.equal_zones(key, head, length, begins[:-1], ids, prefix)
+
+    def windows(some: np.ndarray) -> list[np.ndarray]:
+        return compare_windows(prefix, ids, key[some], doc[some], begins[:-1][some], length[some] - window + 1, head[some], window, earlier)
+
+    return (length - window + 1, *repeats.by_zones(key, doc, zone, earlier, windows))
+
+
+def compare_windows(prefix: hashing.Prefix, ids: np.ndarray, key: np.ndarray, doc: np.ndarray, base: np.ndarray, sizes: np.ndarray, head: np.ndarray, window: int, earlier: bool) -> list[np.ndarray]:
     """For each zone, which of its windows end below a deep internal node with a leaf of an earlier document. The tree is
     built by hashes; the words of all suffixes below a deep node are then compared with those of its first one."""
-    h, ids, begins = word_ids(bodies)
-    sizes = np.diff(begins) - window + 1
-    zone = np.repeat(np.arange(len(bodies)), sizes)
+    zone = np.repeat(np.arange(len(key)), sizes)
     step = np.arange(len(zone)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = begins[:-1][zone] + step
+    at = base[zone] + step
     order = np.lexsort((head[zone] - step, key[zone]))
     k, off = key[zone][order], (head[zone] - step)[order]
     group = np.empty(len(zone), dtype=np.int64)
     group[order] = np.cumsum(np.concatenate(([True], (k[1:] != k[:-1]) | (off[1:] != off[:-1]))))
-    node = Subtree(hashing.Prefix(h), at, group, window).node
+    node = Subtree(prefix, at, group, window).node
     out = np.zeros(len(zone), dtype=bool)
     deep = np.flatnonzero(node >= 0)
     if len(deep):

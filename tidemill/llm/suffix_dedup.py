@@ -85,14 +85,25 @@ def merge_sort(s: Suffixes, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     return order
 
 
-def match(key: np.ndarray, doc: np.ndarray, bodies: list[bytes], head: np.ndarray, window: int, earlier: bool) -> list[np.ndarray]:
+def match(key: np.ndarray, doc: np.ndarray, bodies: list[bytes], head: np.ndarray, window: int, earlier: bool) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The number of windows of each zone; which zones are equal to others; and masks of the windows of those that differ."""
+    length = np.array([len(b) for b in bodies])
+    data, base = np.frombuffer(b"".join(bodies), dtype=np.uint8), np.cumsum(length) - length
+    s = Suffixes(data, window)
+    zone = repeats.equal_zones(key, head, length, base, data, s.prefix)
+
+    def windows(some: np.ndarray) -> list[np.ndarray]:
+        return compare_windows(s, key[some], base[some], length[some] - window + 1, head[some])
+
+    return (length - window + 1, *repeats.by_zones(key, doc, zone, earlier, windows))
+
+
+def compare_windows(s: Suffixes, key: np.ndarray, base: np.ndarray, sizes: np.ndarray, head: np.ndarray) -> list[np.ndarray]:
     """For each zone, which of its window starts have an equal window among the others. Windows are put in groups of
-    the same gram at the same offset; each group's suffixes are sorted and neighbours with `window` bytes in common
+    the same gram at the same offset; each group's suffixes are sorted and neighbours with a whole window in common
     are equal, which their bytes then have to confirm."""
-    sizes = np.array([len(b) - window + 1 for b in bodies])
-    data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
-    base = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))[:-1]
-    zone = np.repeat(np.arange(len(bodies)), sizes)
+    data, window = s.data, s.window
+    zone = np.repeat(np.arange(len(key)), sizes)
     step = np.arange(len(zone)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at, offset = base[zone] + step, head[zone] - step
     order = np.lexsort((zone, offset, key[zone]))
@@ -102,7 +113,6 @@ def match(key: np.ndarray, doc: np.ndarray, bodies: list[bytes], head: np.ndarra
     order = order[several]
     out = np.zeros(len(zone), dtype=bool)
     if len(order):
-        s = Suffixes(data, window)
         order = order[merge_sort(s, at[order], group)]
         next_to = np.flatnonzero(group[1:] == group[:-1])
         pairs = next_to[s.common(at[order[next_to]], at[order[next_to + 1]]) >= window]
