@@ -373,3 +373,21 @@ def test_collect_orders_nulls_first_like_every_stage(spark):
     assert Engine(spark).run(s.to(Sink.collect(CollectOptions(4)), "r")).value("r") == [{"v": 2}, {"v": 3}, {"v": 1}, {"v": 4}]
     with pytest.raises(CollectOverflowError):
         Engine(spark).run(s.to(Sink.collect(CollectOptions(3)), "r"))
+
+
+def test_snapshots_count_what_stages_did(spark):
+    engine = Engine(spark, counters=True)
+    source, q = S.queue_(BufferOptions(3, OverflowPolicy.DROP_OLDEST), "int")
+    for i in range(8):
+        q.offer(i)
+    assert engine.run(source.to(Sink.count(), "n")).snapshot == {"status": "completed", "error": None, "results": 1, "dropped": 5, "supervised": 0, "poison": 0, "evicted": 0}
+    retry = SupervisionOptions(SupervisionForm.RETRY, 3, (0,), RetryExhaustion.RESUME)
+    scope = Flow().fault_point(fn.Py(lambda r, *_: r["value"] == 4)).select(fn.Py(lambda r: r))
+    seen = engine.run(TEN.supervised(retry, scope, schema="value int").to(Sink.count(), "n"))
+    assert seen.value("n") == 9 and seen.snapshot["supervised"] == 3 and seen.snapshot["poison"] == 1
+    idle = GroupByOptions(2, ActiveKeyOverflowPolicy.EVICT_IDLE)
+    seen = engine.run(TEN.group_by(idle, fn.Py(lambda r: r["value"] % 3), Flow().scan(fn.fold(0, lambda s, r: s + 1)), schema="value long").to(Sink.count(), "n"))
+    assert seen.value("n") == 10 and seen.snapshot["evicted"] == 8
+    with pytest.raises(DataflowError):
+        engine.run(TEN.fault_point("value = 2").to(Sink.count(), "n"))
+    assert engine.last.snapshot["status"] == "failed" and engine.last.snapshot["error"] == "DataflowError"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -27,16 +28,27 @@ class Run:
 
     fingerprint: str
     values: dict[str, Any] = field(default_factory=dict)
-    status: str = "completed"
+    status: str = "running"
+    counts: Counter = field(default_factory=Counter)
+    error: str | None = None
+
+    @property
+    def snapshot(self) -> dict:
+        """How the run stands, and what its stages did to elements beside passing them on, if the engine counts: dropped by
+        buffers and queues, failures that scopes answered (supervised), given up after retries (poison), keys evicted."""
+        return {"status": self.status, "error": self.error, "results": len(self.values), **{k: self.counts[k] for k in ("dropped", "supervised", "poison", "evicted")}}
 
     def value(self, slot: str) -> Any:
         return self.values[slot]
 
 
 class Engine:
-    """large: None decides by estimated size whether positions are found on one task or by ranges over many."""
+    """large: None decides by estimated size whether positions are found on one task or by ranges over many. counters: runs
+    count what their stages drop, supervise and evict, for which element-by-element stages are stored once."""
 
-    def __init__(self, spark: SparkSession, registry: Registry | None = None, large: bool | None = None, block: int | None = None):
+    def __init__(self, spark: SparkSession, registry: Registry | None = None, large: bool | None = None, block: int | None = None, counters: bool = False):
+        self.counters = counters
+        self.last: Run | None = None
         self.spark, self.registry = spark, registry
         self.cached: list[DataFrame] = []  # of the run that goes on
         self.ctx = Context(spark, large, *([block] if block else []))
@@ -133,7 +145,8 @@ class Engine:
         """Each call is a new run. All terminals share what they have in common."""
         document = graph.document
         self.check(graph)
-        run = Run(document.fingerprint)
+        run = self.last = Run(document.fingerprint)
+        self.ctx.counted = run.counts if self.counters else None
         self.cached = []
         done: dict[int, Any] = {}
         uses = self._uses(graph.nodes())
@@ -143,7 +156,15 @@ class Engine:
                 value = self._settle(t, s)
                 if t.slot:
                     run.values[t.slot] = value
+            run.status = "completed"
+        except Exception as e:
+            run.status, run.error = "failed", type(e).__name__
+            raise
         finally:
+            self.ctx.counted = None
+            for n in graph.nodes():
+                if n.kind == "queue":
+                    run.counts["dropped"] += n.bind["queue"].dropped
             for df in self.cached:
                 df.unpersist()
         return run

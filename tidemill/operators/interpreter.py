@@ -5,18 +5,22 @@ from __future__ import annotations
 import asyncio
 import copy
 import inspect
+import json
 import time
 from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import TrackedKeyOverflowError
 from tidemill.options import ActiveKeyOverflowPolicy, KeyOverflowPolicy, RetryExhaustion, SupervisionForm
 
-from .order import ERR, SEQ, TIE, Context, Stream
+from .order import ERR, SEQ, TIE, Context, Stream, checkpointed
+
+STATS = "__df_stats"
 
 #: A group or scope admits these stages.
 ADMITTED = ("select", "where", "scan", "take", "skip", "take-while", "take-through", "skip-while", "distinct", "deduplicate-consecutive", "grouped", "sliding", "fault-point")
@@ -151,7 +155,7 @@ class Supervised:
 
     def __init__(self, steps: list[tuple[str, dict]], options, fallback: Any = None):
         self.chain, self.options, self.fallback = Chain(steps), options, fallback
-        self.failures = self.poison = 0
+        self.counts = {"supervised": 0, "poison": 0}
 
     @property
     def ended(self) -> bool:
@@ -164,7 +168,7 @@ class Supervised:
             try:
                 return self.chain.offer(x)
             except Exception:
-                self.failures += 1
+                self.counts["supervised"] += 1
                 if o.form == SupervisionForm.RECOVER:
                     self.chain.ended = True
                     return [self.fallback]
@@ -174,7 +178,7 @@ class Supervised:
                     continue
                 answer = o.form
                 if o.form == SupervisionForm.RETRY:
-                    self.poison += 1
+                    self.counts["poison"] += 1
                     answer = o.on_exhaustion
                     if answer == RetryExhaustion.FAIL:
                         raise
@@ -193,6 +197,7 @@ class Substreams:
 
     def __init__(self, key, steps: list[tuple[str, dict]], options):
         self.key, self.steps, self.options = key, steps, options
+        self.counts = {"evicted": 0}
         self.live: OrderedDict[Any, Chain] = OrderedDict()  # by last use
         self.opened: OrderedDict[int, Chain] = OrderedDict()  # by opening
 
@@ -204,6 +209,7 @@ class Substreams:
                 if self.options.overflow_policy == ActiveKeyOverflowPolicy.FAIL:
                     raise TrackedKeyOverflowError(f"key {k!r} is one more than {self.options.max_active_keys}")
                 _, old = self.live.popitem(last=False)
+                self.counts["evicted"] += 1
                 del self.opened[id(old)]
                 out += old.flush()
             self.live[k] = Chain(self.steps)
@@ -230,6 +236,9 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
     part = list(s.part)
     kept = [f for f in s.df.schema if f.name in part]
     full = T.StructType([*fields, *kept, T.StructField(SEQ, T.LongType()), T.StructField(TIE, T.LongType()), T.StructField(ERR, T.StringType())])
+    counting = ctx.counted is not None
+    if counting:  # a machine's counts are a row of their own
+        full = full.add(STATS, T.StringType())
     dealt = s.df.repartition(*part) if part else s.df.repartition(1)
     dealt = dealt.sortWithinPartitions(*part, SEQ)
     err = s.err
@@ -242,13 +251,16 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
         machine, key, failed, since = None, None, False, 0
         rows: list[tuple] = []
 
+        def row(values: tuple, at: int, tie: int, error: str | None, stats: str | None = None) -> None:
+            rows.append((*values, *(key or ()), at, tie, error, *((stats,) if counting else ())))
+
         def put(found: list, at: int, tie: int = 0) -> None:
             for i, y in enumerate(found, tie):
                 y = y if isinstance(y, dict) else {"value": y}
-                rows.append((*(y.get(n) for n in outs), *(key or ()), at, i, None))
+                row(tuple(y.get(n) for n in outs), at, i, None)
 
         def fail(e: Exception, at: int) -> None:
-            rows.append((*(None for _ in outs), *(key or ()), at, 0, f"{type(e).__name__}: {e}"))
+            row((None,) * len(outs), at, 0, f"{type(e).__name__}: {e}")
 
         def end() -> None:
             if machine is not None and not failed:
@@ -256,6 +268,8 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
                     put(machine.flush(), LAST, since << 20 if part else 0)  # keys are flushed in the order they opened
                 except Exception as e:
                     fail(e, LAST)
+            if machine is not None and counting and getattr(machine, "counts", None):
+                row((None,) * len(outs), LAST, 0, None, json.dumps(machine.counts))
 
         def frame() -> pd.DataFrame:
             out = pd.DataFrame.from_records(rows, columns=[f.name for f in full]).astype({SEQ: "int64", TIE: "int64"})
@@ -273,7 +287,7 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
                 if failed or machine.ended:
                     continue
                 if e is not None:
-                    rows.append((*(None for _ in outs), *key, at, 0, e))
+                    row((None,) * len(outs), at, 0, e)
                     failed = True
                     continue
                 try:
@@ -288,4 +302,10 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
             yield frame()
 
     df: DataFrame = dealt.mapInPandas(run, full)
+    if counting:
+        df = checkpointed(df)
+        for r in df.where(F.col(STATS).isNotNull()).groupBy(STATS).agg(F.count(F.lit(1)).alias("n")).collect():
+            for name, n in json.loads(r[STATS]).items():
+                ctx.counted[name] += n * r["n"]
+        df = df.where(F.col(STATS).isNull()).drop(STATS)
     return s.with_df(df, order=(SEQ, TIE), dense=False, timed=False, err=True)

@@ -551,6 +551,7 @@ class Held:
 
     def __init__(self, service: int, o):
         self.service, self.o = service, o
+        self.counts = {"dropped": 0}
         self.held: list[tuple[int, dict]] = []
         self.free = -(1 << 62)
 
@@ -576,10 +577,13 @@ class Held:
 
                     raise BufferOverflowError(f"more than {self.o.capacity} elements are held")
                 case OverflowPolicy.DROP_NEWEST:
+                    self.counts["dropped"] += 1
                     return out
                 case OverflowPolicy.DROP_OLDEST:
+                    self.counts["dropped"] += 1
                     self.held.pop(0)
                 case OverflowPolicy.DROP_BUFFER:
+                    self.counts["dropped"] += len(self.held)
                     self.held.clear()
         self.held.append((now, x))
         return out
@@ -696,6 +700,7 @@ def supervised(ctx: Context, s: Stream, b: dict) -> Stream:
         return sequential(ctx, s, lambda: Supervised(steps, o, b.get("fallback")), b.get("schema") or ddl(s))
     bad = F.coalesce(column(steps[0][1]["fn"]), F.lit(False)) & s.ok()
     form = o.form
+    ctx.count("supervised", s.df.where(bad))
     if form == SupervisionForm.RETRY:  # a condition on the element fails every time
         form = {RetryExhaustion.FAIL: None, RetryExhaustion.RESUME: SupervisionForm.RESUME, RetryExhaustion.RESTART_STAGE: SupervisionForm.RESTART_STAGE}[o.on_exhaustion]
         if form is None:

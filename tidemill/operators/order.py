@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,6 +74,13 @@ class Context:
 
     def __init__(self, spark: SparkSession, large: bool | None = None, block: int = BLOCK):
         self.spark, self.forced, self.block = spark, large, block
+        #: What stages did to elements beside passing them on, by name; None: nobody asks.
+        self.counted: Counter | None = None
+
+    def count(self, name: str, df: DataFrame) -> None:
+        """Count rows under a name, if anybody asks."""
+        if self.counted is not None:
+            self.counted[name] += df.count()
 
     def large(self, s: Stream) -> bool:
         if self.forced is not None:

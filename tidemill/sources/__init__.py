@@ -244,7 +244,8 @@ class IngressQueue:
 def queue_(options: BufferOptions, schema: str) -> tuple[Source, IngressQueue]:
     options.check()
     q = IngressQueue(options)
-    return _memory("queue", q.drain, schema, {"capacity": options.capacity, "overflowPolicy": str(options.overflow_policy)}), q
+    s = _memory("queue", q.drain, schema, {"capacity": options.capacity, "overflowPolicy": str(options.overflow_policy)})
+    return Source(Node(s.node.kind, s.node.params, s.node.bind | {"queue": q})), q
 
 
 def tick(initial_delay_micros: int, interval_micros: int, count: int, t0: int = 0) -> Source:
