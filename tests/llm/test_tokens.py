@@ -152,6 +152,23 @@ def test_token_counts_against_offsets(odd_docs, sample, rule, separator):
         assert list(g.n_crossing) == [crossing[i] for i in range(len(g))]
 
 
+@pytest.mark.parametrize("name", [tokens.DEFAULT_TOKENIZER, tokens.DEFAULT_RANKS, "word_bpe_49k.json"])
+def test_offsets_of_whole_texts(sample, name):
+    """Ids and ends of either library are those of the tokenizers library's plain call."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name if name.endswith(".json") else tokens.DEFAULT_TOKENIZER))
+    code = tokens.whole_encoder(public_tokenizers.path(name))
+    for text in [*TEXTS, *(r.text for r in sample.select("text").limit(60).collect())]:
+        ids, ends = code.encode(text)
+        want = t.encode(text, add_special_tokens=False)
+        assert ids.tolist() == want.ids
+        if text.isascii():  # where a character is a byte, the library's offsets are in bytes
+            assert ends.tolist() == [e for _, e in want.offsets]
+        assert len(ends) == 0 or ends[-1] <= len(text.encode()) and (np.diff(ends) >= 0).all()
+
+
 def test_token_counts_edges(odd_docs, no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
     got = token_counts.token_counts(odd_docs).toPandas()

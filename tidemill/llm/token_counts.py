@@ -1,4 +1,5 @@
-"""Token counts of the sections of documents, attributed by offsets."""
+"""Token counts of the sections of documents, attributed by offsets: a document is encoded whole, and its tokens' spans are
+joined with the spans of its sections."""
 
 from __future__ import annotations
 
@@ -37,10 +38,11 @@ def attribute(ends: np.ndarray, cuts: np.ndarray, rule: str) -> tuple[np.ndarray
 
 
 def token_counts(docs: DataFrame, rule: str = "first", tokenizer: str | None = None, separator: str = "\n") -> DataFrame:
-    """Count tokens in each section of each document, where a document is encoded once and whole.
+    """Count tokens in each section of each document, where a document is encoded once and whole. tokenizer: a file of ranks for
+    the tiktoken library (by default), or one for the tokenizers library, which takes some five times as long.
 
-    A section ends with a separator, one ASCII character: by default, lines with the line breaks that end them. A token that crosses from one section into the next belongs
-    to one section only, by the rule: `first`, the section of its first byte; `last`, that of its last byte;
+    A section ends with a separator, one ASCII character: by default, lines with the line breaks that end them. A token
+    that crosses from one section into the next belongs to one section only, by the rule: `first`, the section of its first byte; `last`, that of its last byte;
     `largest`, that with most of its bytes, the earlier of equals. So counts add up to the document's tokens.
 
     One row for each section: doc_id, section (from 0), char_start, char_end (code points), n_tokens,
@@ -52,24 +54,20 @@ def token_counts(docs: DataFrame, rule: str = "first", tokenizer: str | None = N
         raise ValueError("separator must be one ASCII character")
     common.bound_batches(docs.sparkSession)
     mark = ord(separator)
-    path = tokens.tokenizer_path(tokenizer)
+    path = tokens.ranks_path(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = tokens.encoder(path)
+        code = tokens.whole_encoder(path)
         for batch in common.pieces(batches, 64):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             cols: list[list[np.ndarray]] = [[] for _ in ROWS]
-            for doc_id, text, raw in zip(np.asarray(batch.column(0).fill_null(common.NULL_ID)), texts, code.encode_all(texts), strict=True):
+            for doc_id, text in zip(np.asarray(batch.column(0).fill_null(common.NULL_ID)), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
                 cuts = np.concatenate(([0], np.flatnonzero(data == mark) + 1))
                 if cuts[-1] != len(data) or len(cuts) == 1:
                     cuts = np.append(cuts, len(data))
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                if code.by_unit:
-                    ends = np.cumsum(code.byte_lengths[np.frombuffer(raw, dtype="<u4")])
-                else:  # offsets of the library, in code points
-                    at = np.searchsorted(chars, np.arange(len(text) + 1))
-                    ends = at[np.array([e for _, e in code.tokenizer.encode(text, add_special_tokens=False).offsets], dtype=np.int64)]
+                _, ends = code.encode(text)
                 n = len(cuts) - 1
                 owner, crossing = attribute(ends, cuts, rule) if len(ends) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
                 parts = (np.full(n, doc_id), np.arange(n), chars[cuts[:-1]], chars[cuts[1:]], np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n))

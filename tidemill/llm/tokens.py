@@ -14,6 +14,9 @@ from operator import attrgetter
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
+#: The same vocabulary as ranks, and what the first file adds to it.
+DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
+ADDED = {"<|endoftext|>": 50256}
 #: Units remembered in a worker, a bound on its memory: 100 to 200 bytes each.
 REMEMBERED = 700_000
 #: Letters up to this code point are known to be told from other characters as the library tells them; see Encoder.alike.
@@ -26,6 +29,7 @@ _ID = attrgetter("id")
 _BESIDE = re.compile(r" \s|\s ")
 _LAST = chr(LAST_LETTER)
 _MADE: dict[str, "Encoder"] = {}
+_WHOLE: dict[str, "WholeEncoder"] = {}
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -149,6 +153,63 @@ class Encoder(dict):
         return self._sizes
 
 
+class WholeEncoder:
+    """Encodes texts whole and tells where each token ends, in bytes.
+
+    A `.tiktoken` file of byte-level ranks is read by the tiktoken library, with the pattern and the added tokens that go with
+    it; any other file by the tokenizers library, whose offsets tell the ends, or for a byte-level vocabulary the tokens' lengths."""
+
+    def __init__(self, path: str, pattern: str | None = None, added: dict[str, int] | None = None):
+        self.library = self.plain = None
+        if path.endswith(".tiktoken"):
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.plain = tiktoken.Encoding("ranks", pat_str=pattern or default_pattern(), mergeable_ranks=ranks, special_tokens=added or {})
+            lengths = {rank: len(token) for token, rank in ranks.items()} | {i: len(t.encode()) for t, i in (added or {}).items()}
+            self.lengths = np.zeros(max(lengths, default=-1) + 1, dtype=np.int64)
+            self.lengths[list(lengths)] = list(lengths.values())
+        else:
+            self.library = Encoder(path)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and for each the place in the UTF-8 bytes where it ends."""
+        if self.plain is not None:
+            ids = self.plain.encode_to_numpy(text, allowed_special="all")
+            return ids, np.cumsum(self.lengths[ids])
+        found = self.library.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, dtype=np.uint32)
+        if self.library.by_unit:
+            return ids, np.cumsum(self.library.byte_lengths[ids])
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        return ids, at[np.array([e for _, e in found.offsets], dtype=np.int64)]
+
+
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def ranks_path(path: str | None = None) -> str:
+    if path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(DEFAULT_RANKS)
+
+
+def whole_encoder(path: str) -> WholeEncoder:
+    """One in a worker for each file; the default ranks come with their one added token."""
+    if path not in _WHOLE:
+        _WHOLE[path] = WholeEncoder(path, added=ADDED if path.endswith(DEFAULT_RANKS) else None)
+    return _WHOLE[path]
+
+
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder in a worker for each vocabulary."""
     if path not in _MADE:
