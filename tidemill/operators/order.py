@@ -15,7 +15,7 @@ RESERVED = "__df_"
 #: Rows of a block in a two-phase running aggregate.
 BLOCK = 1 << 20
 #: Estimated bytes of a plan's result from which positions are found by ranges over many tasks.
-LARGE_BYTES = 256 << 20
+LARGE_BYTES = 64 << 20
 LAST = (1 << 62) - 1
 
 
