@@ -391,3 +391,21 @@ def test_snapshots_count_what_stages_did(spark):
     with pytest.raises(DataflowError):
         engine.run(TEN.fault_point("value = 2").to(Sink.count(), "n"))
     assert engine.last.snapshot["status"] == "failed" and engine.last.snapshot["error"] == "DataflowError"
+
+
+@pytest.mark.parametrize("block", [4, 7, 1000])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_groups_within_a_time_are_the_same_over_blocks(spark, block, weighted):
+    import random
+
+    rng = random.Random(block)
+    for monotone in (True, False):
+        at, pairs = 0, []
+        for i in range(60):
+            at += rng.choice([0, 1, 1, 2, 9, 30]) if monotone else rng.choice([-3, 0, 1, 5, 20])
+            pairs.append((i, at))
+        flow = Flow().grouped_weighted_within(4, 6, 10, lambda r: r["value"] % 5) if weighted else Flow().grouped_within(4, 10)
+        one, many = (Engine(spark, large=large, block=block).run(timed(*pairs).via(flow).to(Sink.collect(CollectOptions(100)), "r")).value("r") for large in (False, True))
+        assert one == many and sum(map(len, one)) == 60
+    with pytest.raises(Exception, match="a weight of 4"):
+        Engine(spark, large=True, block=block).run(timed((1, 1), (2, 2)).grouped_weighted_within(4, 3, 10, lambda r: 4).to(Sink.count(), "r"))

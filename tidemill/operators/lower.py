@@ -410,11 +410,100 @@ def grouped_within(ctx: Context, s: Stream, b: dict) -> Stream:
     scalar = s.columns == ["value"]
     inner = dict(s.df.dtypes)["value"] if scalar else "struct<" + ",".join(f"`{n}`:{t}" for n, t in s.df.dtypes if n in s.columns) + ">"
     s = s if s.dense else ctx.dense(s)
+    if ctx.large(s) and not s.part and not s.err and b["size"] <= ctx.block:
+        return within_blocks(ctx, s, b, inner)
     s = s.with_df(s.df.withColumn("__ts", F.col(TS)))
     args = (b["size"], b["window"], b.get("max_weight"), b.get("cost"), scalar)
     return sequential(ctx, s, lambda: Within(*args), f"value array<{inner}>")
 
 
+def next_starts(ts, weight, size: int, window: int, most: int | None):
+    """For a group that begins at each place, where the next one begins: behind `size` elements, at the first that comes
+    when the time is over, or at the first that makes it too heavy. Past the end: the group is still open."""
+    import numpy as np
+
+    n = len(ts)
+    out = np.minimum(np.arange(n) + size, n + size)
+    if n and (np.diff(ts) >= 0).all():
+        late = np.searchsorted(ts, ts + window, side="left")
+        out = np.minimum(out, np.where(late < n, late, n + size))
+    else:
+        for i in range(n):
+            for j in range(i + 1, min(i + size, n)):
+                if ts[j] >= ts[i] + window:
+                    out[i] = j
+                    break
+    if most is not None:
+        total = np.cumsum(weight)
+        heavy = np.searchsorted(total, total - weight + most, side="right")
+        out = np.minimum(out, np.where(heavy < n, heavy, n + size))
+    return np.where(out > n, n + size, np.maximum(out, np.arange(n) + 1))
+
+
+def within_blocks(ctx: Context, s: Stream, b: dict, inner: str) -> Stream:
+    """Groups of a large stream in three phases. Each block of positions, with as many rows of the next as a group can hold,
+    tells for each place at which a group may begin in it where the first one of the next block begins; one small row for
+    each block is composed in order; then each block makes its groups."""
+    size, window, most, cost = b["size"], b["window"], b.get("max_weight"), b.get("cost")
+    names, block, scalar = s.columns, ctx.block, s.columns == ["value"]
+    if most is not None:
+        s = per_row(s, cost, f"{ddl(s)}, __weight long", each=lambda r, y: {**r, "__weight": y})
+        outside = (F.col("__weight") < 0) | (F.col("__weight") > most)
+        s = ctx.fail_at(s, outside, "ValueError", F.concat(F.lit("a weight of "), F.col("__weight").cast("string"), F.lit(f" is not within 0..{most}")))
+    errors = errors_of(s)
+    rows = s.df.where(s.ok()).withColumn("__df_home", F.expr(f"{SEQ} div {block}"))
+    reach = F.when((F.col(SEQ) % block < size) & (F.col("__df_home") > 0), F.array(F.col("__df_home"), F.col("__df_home") - 1)).otherwise(F.array("__df_home"))
+    rows = checkpointed(rows.withColumn("__df_block", F.explode(reach)))
+
+    def arrays(pdf):
+        pdf = pdf.sort_values(SEQ)
+        own = int((pdf["__df_home"] == pdf["__df_block"]).sum())
+        weight = pdf["__weight"].to_numpy() if most is not None else None
+        return pdf, own, next_starts(pdf[TS].to_numpy(), weight, size, window, most)
+
+    def lead(pdf):
+        import pandas as pd
+
+        pdf, own, nxt = arrays(pdf)
+        ends = [0] * own
+        for i in range(own - 1, -1, -1):
+            ends[i] = int(nxt[i]) - own if nxt[i] >= own else ends[nxt[i]]
+        return pd.DataFrame({"__df_block": [int(pdf["__df_block"].iloc[0])], "own": [own], "ends": [ends[:size]]})
+
+    def compose(batches):
+        import pandas as pd
+
+        at = 0
+        for pdf in batches:
+            begin = []
+            for own, ends in zip(pdf["own"], pdf["ends"], strict=True):
+                begin.append(at)
+                at = int(ends[at]) if at < own else at - int(own)
+            yield pd.DataFrame({"__df_b": pdf["__df_block"], "begin": begin})
+
+    leads = rows.groupBy("__df_block").applyInPandas(lead, "__df_block long, own long, ends array<long>")
+    begins = checkpointed(leads.repartition(1).sortWithinPartitions("__df_block").mapInPandas(compose, "__df_b long, begin long"))
+
+    def make(pdf):
+        import pandas as pd
+
+        begin = int(pdf["begin"].iloc[0])
+        pdf, own, nxt = arrays(pdf)
+        n, seq = len(pdf), pdf[SEQ].to_numpy()
+        found, at = [], begin
+        values = pdf["value"].tolist() if scalar else pdf[names].astype(object).where(pdf[names].notna(), None).to_dict("records")
+        while at < own:
+            end = int(nxt[at])
+            last = min(end, n)
+            set_free = int(seq[last - 1]) if last - at == size else int(seq[end]) if end < n else LAST
+            found.append((values[at:last], set_free, 0))
+            at = end
+        return pd.DataFrame(found, columns=["value", SEQ, TIE]).astype({SEQ: "int64", TIE: "int64"})
+
+    made = rows.join(begins, F.col("__df_block") == F.col("__df_b")).groupBy("__df_block").applyInPandas(make, f"value array<{inner}>, {SEQ} long, {TIE} long")
+    return s.with_df(with_errors(s, made, errors), order=(SEQ, TIE), dense=False, timed=False)
+
+
 def placed(ctx: Context, s: Stream) -> Stream:
     """SEQ orders the stream, without gaps or not: one whole-numbered order column of a small stream does as it is."""
     if len(s.order) == 1 and not ctx.large(s) and dict(s.df.dtypes)[s.order[0]] in ("int", "bigint"):
