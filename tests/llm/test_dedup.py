@@ -151,7 +151,7 @@ def brute_suffix(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("hot", "proven"), [(512, 4), (512, 1), (1, 4), (2, 1), (512, 1000)])
+@pytest.mark.parametrize(("hot", "proven"), [(512, 16), (512, 1), (1, 16), (2, 1), (512, 1000)])
 @pytest.mark.parametrize("window", [200, 24])
 def test_suffix_dedup(spark, odd_docs, sample, monkeypatch, hot, proven, window):
     monkeypatch.setattr(repeats, "HOT", hot)
@@ -212,7 +212,7 @@ def brute_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("hot", "proven"), [(512, 4), (512, 1), (1, 4), (2, 1), (512, 1000)])
+@pytest.mark.parametrize(("hot", "proven"), [(512, 16), (512, 1), (1, 16), (2, 1), (512, 1000)])
 @pytest.mark.parametrize("window", [50, 6])
 def test_substring_dedup(spark, odd_docs, sample, monkeypatch, hot, proven, window):
     monkeypatch.setattr(repeats, "HOT", hot)

@@ -27,7 +27,7 @@ from . import common, hashing
 
 #: Zones of one gram up to which they meet in one task; equal zones up to which each is sent and compared by its bytes.
 HOT = 512
-PROVEN = 4
+PROVEN = 16
 #: Windows of a strip, in which hot zones are compared at first.
 STRIP = 8
 #: Symbols taken at a time; a longer document is cut into chunks that overlap by a window.
