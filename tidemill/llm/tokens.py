@@ -6,10 +6,10 @@ token, is encoded whole: ids are always those of the library's plain call."""
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
-from operator import attrgetter
 
 import numpy as np
 
@@ -25,9 +25,11 @@ MARKS = (".", ",", ";", ":", "!", "?")
 # The character that stands for each byte in a byte-level vocabulary.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LEVEL = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_ID = attrgetter("id")
 _BESIDE = re.compile(r" \s|\s ")
 _LAST = chr(LAST_LETTER)
+#: The character of the space before a word.
+LEAD = "\u0120"
+_ASCII_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", " \x0b", "\x0b ", " \x0c", "\x0c ", " \x1c", "\x1c ", " \x1d", "\x1d ", " \x1e", "\x1e ", " \x1f", "\x1f ")
 _MADE: dict[str, "Encoder"] = {}
 _WHOLE: dict[str, "WholeEncoder"] = {}
 
@@ -40,6 +42,11 @@ def tokenizer_path(path: str | None = None) -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+def spaces_meet(text: str) -> bool:
+    """Whether a space has white space beside it."""
+    return any(map(text.__contains__, _ASCII_BESIDE)) if text.isascii() else _BESIDE.search(text) is not None
+
+
 class Encoder(dict):
     """Maps a unit, without the space before it, to its ids as little-endian 32-bit bytes."""
 
@@ -76,37 +83,47 @@ class Encoder(dict):
         self[unit] = ids
         return ids
 
-    def _letters(self, text: str, lead: str) -> bytes | None:
-        """The ids of a word of letters, or of one with a mark behind it, which is a pre-token of its own."""
-        word, mark = (text, b"") if text.isalpha() else (text[:-1], self.marks.get(text[-1:]))
-        if mark is None or not word.isalpha() or not self.plain or not (word.isascii() or max(word) <= _LAST):
+    def _word(self, word: str, lead: str) -> bytes | None:
+        """The ids of a word of letters, a pre-token of its own; None where the library has to say what its letters are."""
+        if word.isascii():
+            as_bytes = word
+        elif max(word) <= _LAST:
+            as_bytes = word.encode().decode("latin-1").translate(BYTE_LEVEL)
+        else:
             return None
-        if lead and mark and (ids := self.get(word)) is not None:
-            return ids + mark
-        as_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
-        ids = array("I", map(_ID, self.tokenize(lead + as_bytes))).tobytes()
-        if lead:
-            self[word] = ids
-        return ids + mark
+        return array("I", [t.id for t in self.tokenize(lead + as_bytes)]).tobytes()
 
     def learn(self, units: set[str]) -> None:
         """Encode unknown units. What the pattern surely takes apart goes to the model a pre-token at a time: words of
         letters, a mark behind one, one line break between two of them; other units are encoded as they are."""
         if len(self) + 2 * len(units) > self.remembered:
             self.clear()
-        odd = []
-        for u in units:
-            ids = self._letters(u, "\u0120")
-            if ids is None:
-                left, line, right = u.partition("\n")
-                if line and left and right and (b := self._letters(right, "")) is not None and (a := self.get(left) or self._letters(left, "\u0120")) is not None:
-                    ids = a + self.line + b
-            if ids is None:
-                odd.append(u)
+        odd, get, marks, word_ids = [], self.get, self.marks, self._word
+        for u in units if self.plain else ():
+            if u.isalpha():
+                ids = word_ids(u, LEAD)
+                if ids is not None:
+                    self[u] = ids
+                    continue
+            elif (mark := marks.get(u[-1:])) is not None and (word := u[:-1]).isalpha():
+                ids = get(word)
+                if ids is None and (ids := word_ids(word, LEAD)) is not None:
+                    self[word] = ids
+                if ids is not None:
+                    self[u] = ids + mark
+                    continue
             else:
-                self[u] = ids
-        for at in range(0, len(odd), 4096):
-            some = odd[at : at + 4096]
+                left, line, right = u.partition("\n")
+                end = b"" if right.isalpha() else marks.get(right[-1:])
+                if line and left and right and end is not None and (end == b"" or right[:-1].isalpha()):
+                    stop = b"" if left.isalpha() else marks.get(left[-1:])
+                    if stop is not None and (stop == b"" or left[:-1].isalpha()):
+                        first, second = word_ids(left if stop == b"" else left[:-1], LEAD), word_ids(right if end == b"" else right[:-1], "")
+                        if first is not None and second is not None:
+                            self[u] = first + stop + self.line + second + end
+                            continue
+            odd.append(u)
+        for some in itertools.batched(odd if self.plain else units, 4096):
             for u, e in zip(some, self.tokenizer.encode_batch_fast([" " + u for u in some], add_special_tokens=False), strict=True):
                 self[u] = array("I", e.ids).tobytes()
 
@@ -117,7 +134,7 @@ class Encoder(dict):
         unknown: set[str] = set()
         for text in texts:
             units = text.split(" ")
-            if len(units) == 1 or not self.by_unit or " " in (text[0], text[-1]) or _BESIDE.search(text) or any(a in text for a in self.added):
+            if len(units) == 1 or not self.by_unit or " " in (text[0], text[-1]) or spaces_meet(text) or any(a in text for a in self.added):
                 out.append(self.whole(text) if text else b"")
                 continue
             found = list(map(self.get, units))
