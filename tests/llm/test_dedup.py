@@ -151,8 +151,7 @@ def brute_suffix(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("hot", "proven"), [(512, 16), (512, 1), (1, 16), (2, 1), (512, 1000)])
-@pytest.mark.parametrize("window", [200, 24])
+@pytest.mark.parametrize(("hot", "proven", "window"), [(512, 16, 200), (1, 16, 200), (2, 1, 24), (512, 1000, 24)])
 def test_suffix_dedup(spark, odd_docs, sample, monkeypatch, hot, proven, window):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "PROVEN", proven)
@@ -212,8 +211,7 @@ def brute_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("hot", "proven"), [(512, 16), (512, 1), (1, 16), (2, 1), (512, 1000)])
-@pytest.mark.parametrize("window", [50, 6])
+@pytest.mark.parametrize(("hot", "proven", "window"), [(512, 16, 50), (1, 16, 50), (2, 1, 6), (512, 1000, 6)])
 def test_substring_dedup(spark, odd_docs, sample, monkeypatch, hot, proven, window):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "PROVEN", proven)
