@@ -64,6 +64,8 @@ class Engine:
     def frame(self, source: Source, position: str | None = None, time: str | None = None) -> DataFrame:
         """The elements as a DataFrame, with their positions and times under these names if asked for."""
         s = self.stream(source)
+        if s.endless:
+            raise UnboundedSourceError("a cycle needs a take")
         if position:
             s = self.ctx.dense(s)
         extra = ([F.col(SEQ).alias(position)] if position else []) + ([F.col(TS).alias(time)] if time else [])
@@ -88,7 +90,10 @@ class Engine:
     def _make(self, node: Node, done: dict, uses: dict) -> Any:
         ins = [self._lower(m, p, done, uses) for m, p in node.inputs]
         if not ins:
-            return self._source(node)
+            s = self._source(node)
+            return s.with_df(s.df, endless=True) if node.kind == "cycle" else s
+        if any(s.endless for s in ins) and node.kind in (*vocabulary.FAN_OUT, *vocabulary.FAN_IN):
+            raise UnboundedSourceError("a cycle needs a take before a junction")
         if node.kind in vocabulary.FAN_OUT:
             s = ins[0]
             if uses.get(id(node), 0) > 1 and self._costly(node.inputs[0][0]):
@@ -98,10 +103,10 @@ class Engine:
         if node.kind in vocabulary.FAN_IN:
             return lower.joined_streams(self.ctx, node.kind, ins, node.bind)
         parent = node.inputs[0][0]
-        if parent.kind == "cycle":
+        if ins[0].endless and node.kind not in lower.STATELESS:
             if node.kind != "take":
-                raise UnboundedSourceError("a cycle needs a take directly behind it")
-            return lower.cycle_take(self.ctx, ins[0], node.bind["n"])
+                raise UnboundedSourceError("a cycle needs a take before stages that carry state")
+            return lower.cycle_take(self.ctx, ins[0], node.bind["n"]) if node.bind["n"] else ins[0].with_df(ins[0].df.limit(0), endless=False)
         if parent.kind in ("unfold", "unfold-async") and node.kind == "take":
             return ins[0].with_df(parent.bind["frame"](self.spark, node.bind["n"]))
         return lower.LOWER[node.kind](self.ctx, ins[0], node.bind)
@@ -153,6 +158,8 @@ class Engine:
         try:
             for t in graph.terminals:
                 s = self._lower(*t.inputs[0], done, uses)
+                if s.endless:
+                    raise UnboundedSourceError("a cycle needs a take")
                 value = self._settle(t, s)
                 if t.slot:
                     run.values[t.slot] = value

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.errors import UnboundedSourceError
 from tidemill.functions import Fold, Py, column
 from tidemill.options import ActiveKeyOverflowPolicy, KeyOverflowPolicy, OverflowPolicy, RetryExhaustion, SupervisionForm, ThrottleMode
 
@@ -126,6 +127,9 @@ def per_row(s: Stream, fn: Callable[[dict], Any], schema: str, workers: int = 1,
     return s.with_df(s.df.mapInPandas(run, full))
 
 
+#: Stages that carry nothing from one element to the next.
+STATELESS = ("select", "where", "select-many", "merge-map", "select-async", "select-async-unordered", "select-value-task-async", "select-value-task-async-unordered")
+
 # B: stateless
 
 
@@ -909,7 +913,8 @@ def cycle_take(ctx: Context, s: Stream, n: int) -> Stream:
     s = ctx.dense(s)
     size = s.df.count()
     if not size:
-        return s
+        raise UnboundedSourceError("a repetition of nothing does not come to its end")
+    s = replace(s, endless=False)
     at = ctx.spark.range(n).select(F.col("id").alias("__df_at"), (F.col("id") % size).alias(SEQ))
     df = at.join(s.df, SEQ).drop(SEQ).withColumnRenamed("__df_at", SEQ)
     return s.with_df(df, order=(SEQ,), dense=True)

@@ -24,7 +24,8 @@ class Stream:
     """A DataFrame with a total order. Internal columns begin with RESERVED.
 
     order: the columns that order it; dense: SEQ counts its rows from 0; part: a private stream for each value of
-    these columns; timed: TS holds microseconds; err: a row may carry a failure, and nothing follows it."""
+    these columns; timed: TS holds microseconds; err: a row may carry a failure, and nothing follows it; endless: the rows are
+    one round of a stream that repeats them for ever."""
 
     df: DataFrame
     order: tuple[str, ...]
@@ -32,6 +33,7 @@ class Stream:
     part: tuple[str, ...] = ()
     timed: bool = False
     err: bool = False
+    endless: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -54,19 +56,22 @@ class Stream:
         return F.col(ERR).isNull() if self.err else F.lit(True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written once as a table in spark.checkpoint.dir, which executors share, and read back: the plan is computed once and
-    its lineage is cut. A temporary folder serves single-JVM local mode alone."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in spark.checkpoint.dir, which executors share; a temporary one serves single-JVM local mode alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written once as a table and read back: the plan is computed once and its lineage is cut."""
+    path = checkpoint_folder(df.sparkSession, "stream")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Context:

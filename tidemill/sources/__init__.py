@@ -115,7 +115,7 @@ def repeat(value: Any, count: int, schema: str = "int") -> Source:
 
 
 def cycle(elements: Iterable[Any], schema: str) -> Source:
-    """Repeats forever; a run needs a take directly behind it."""
+    """Repeats forever; a run needs a take, before which only stages that carry no state may stand."""
     rows = list(elements)
     return _memory("cycle", lambda: rows, schema)
 

@@ -240,7 +240,7 @@ def start_durable(frame: DataFrame, write: Callable[[DataFrame, int], None], opt
 
 
 #: Stages that carry nothing from one batch to the next, so a durable run may have them outside its durable scopes.
-STATELESS = ("select", "where", "select-many", "merge-map", "select-async", "select-async-unordered", "select-value-task-async", "select-value-task-async-unordered", "fault-point")
+STATELESS = (*lower.STATELESS, "fault-point")
 
 
 def durable_steps(ctx: Context, s: Stream, steps: list[tuple[str, dict]], name: str, states: dict) -> tuple[Stream, dict]:
