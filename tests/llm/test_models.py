@@ -1,6 +1,7 @@
 """Language identification, exact search, chat trees and the pipeline."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -42,6 +43,39 @@ def test_a_bundle_is_the_sum_over_stretches():
     assert cos > 0.9999
 
 
+def test_a_very_long_text_takes_nothing_from_itself_or_its_neighbours(spark):
+    p = language.profiler(256)
+    de, en = "der hund und die katze ", "the dog and the cat "
+    texts = [en, de, de * 190_000, en, "", en * 210_000, de]
+    got, n = p.bundles(texts)
+    assert list(n) == [sum(c.isalpha() for c in t) for t in texts]
+    assert (got == np.concatenate([p.bundles([t])[0] for t in texts])).all()
+    gaps, _ = p.bundles([("der hund" + " " * 1500) * 3000])  # longer than four stretches, which end in gaps
+    assert (gaps == p.bundles(["der hund " * 3000])[0]).all(), "runs of other characters are one, at a cut too"
+    docs = spark.createDataFrame([(i, t, "de" if t[:3] == "der" else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    found = language.identify(docs, language.learn(docs)).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in found] == ["en", "de", "de", "en", "und", "en", "de"]
+
+
+def test_every_document_is_learned_from_however_many_there_are(spark):
+    """5,000 documents a language, three quarters of them not held out; predictions of a plain mean over all of these."""
+    rng = np.random.default_rng(5)
+    words = {k: ["".join(rng.choice(list(k), 4)) for _ in range(300)] for k in ("abcdefgh", "efghijkl")}
+    rows = [(i, " ".join(rng.choice(words[k], 6)), k) for i, k in enumerate(list(words) * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p, learned = language.profiler(128), {}
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    for k in words:
+        some = [t for i, t, lang in rows if lang == k and zlib.crc32(str(i).encode()) % 4 != 2]
+        assert len(some) > 3500
+        learned[k] = unit(unit(p.bundles(some)[0].astype(float)).sum(axis=0))
+    mean = sum(learned.values()) / 2
+    plain = list(learned), np.array([unit(v - mean) for v in learned.values()])
+    want = language.identify(docs, plain).orderBy("doc_id").toPandas()
+    got = language.language_id(docs, dimensions=128).orderBy("doc_id").toPandas()
+    assert np.abs(got.score - want.score).max() < 1e-6 and list(got.lang_pred) == list(want.lang_pred)
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_top_k_against_all_products(spark, block):
     rng = np.random.default_rng(1)

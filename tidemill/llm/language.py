@@ -14,8 +14,6 @@ from . import common
 
 #: Components of a hypervector.
 DIMENSIONS = 1024
-#: Documents a language is learned from at most, in expectation; a bound on the time of training.
-TRAIN_DOCS = 3000
 UNKNOWN = "und"
 _SYMBOLS = 512  # letter vectors; letters share them by code point
 _SPACE = 0
@@ -53,37 +51,44 @@ class Profiler:
         at = 0
         while at < len(texts):
             some, size = [], 0
-            while at + len(some) < len(texts) and len(some) < 64 and (not some or size < 400_000):
+            while at + len(some) < len(texts) and len(some) < 64 and (not some or size + len(texts[at + len(some)]) <= 400_000):
                 some.append(texts[at + len(some)].lower())
                 size += len(some[-1])
-            if size > 4_000_000:  # one very long text: a bundle is a sum, so add up its stretches, which overlap by two
-                whole = f" {some[0]} "
-                for k in range(2, len(whole), 1_000_000):
-                    b, n = self._sum([whole[k - 2 : k + 1_000_000]], inner=True)
-                    out[at] += b[0]
-                    letters[at] += n[0]
+            if len(some) == 1 and size > 4_000_000:  # a very long text stands alone: a bundle is a sum, so add up its stretches
+                whole, last, total = f" {some[0]} ", np.zeros(0, dtype=np.int64), np.zeros(out.shape[1])
+                for k in range(0, len(whole), 1_000_000):
+                    new = self._symbols(whole[k : k + 1_000_000])
+                    letters[at] += np.count_nonzero(new)
+                    s = np.concatenate([last, new])
+                    s, doc = self._squeezed(s, np.zeros(len(s), dtype=np.int64))
+                    total += self._sum(s, doc, 1)[0]
+                    last = s[-2:]  # what n-grams over the cut begin with
+                out[at] = total
             else:
-                b, n = self._sum(some)
-                out[at : at + len(some)], letters[at : at + len(some)] = b, n
+                spaced = [f" {t} " for t in some]
+                s, doc = self._symbols("".join(spaced)), np.repeat(np.arange(len(some)), [len(t) for t in spaced])
+                letters[at : at + len(some)] = np.bincount(doc[s > 0], minlength=len(some))
+                out[at : at + len(some)] = self._sum(*self._squeezed(s, doc), len(some))
             at += len(some)
         return out, letters
 
-    def _sum(self, texts: list[str], inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        joined = "".join(texts if inner else [f" {t} " for t in texts])
-        s = Profiler._table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        ends = np.cumsum([len(t) + 2 * (not inner) for t in texts])
-        doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-        letters = np.bincount(doc[s > 0], minlength=len(texts))
-        keep = np.concatenate(([True], (s[1:] > 0) | (s[:-1] > 0) | (doc[1:] != doc[:-1]))) if len(s) else np.zeros(0, dtype=bool)
-        s, doc = s[keep], doc[keep]
+    def _symbols(self, text: str) -> np.ndarray:
+        return Profiler._table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+    def _squeezed(self, s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of what is no letter become one symbol."""
+        keep = np.concatenate(([True], (s[1:] > 0) | (s[:-1] > 0) | (doc[1:] != doc[:-1])))
+        return s[keep], doc[keep]
+
+    def _sum(self, s: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         if len(s) < 3:
-            return np.zeros((len(texts), self.letters.shape[1]), dtype=np.float32), letters
+            return np.zeros((n, self.letters.shape[1]), dtype=np.float32)
         code = (s[:-2] * _SYMBOLS + s[1:-1]) * _SYMBOLS + s[2:]
         code, of = code[doc[:-2] == doc[2:]], doc[:-2][doc[:-2] == doc[2:]]
         grams, place = np.unique(code, return_inverse=True)
-        counts = np.bincount(of * len(grams) + place, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams))
+        counts = np.bincount(of * len(grams) + place, minlength=n * len(grams)).reshape(n, len(grams))
         counts[:, grams == 0] = 0
-        return counts.astype(np.float32) @ self.vectors(grams).astype(np.float32), letters
+        return counts.astype(np.float32) @ self.vectors(grams).astype(np.float32)
 
 
 _PROFILERS: dict[int, Profiler] = {}
@@ -100,20 +105,18 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
 
 
-def learn(docs: DataFrame, dimensions: int = DIMENSIONS, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, dimensions: int = DIMENSIONS, train_docs: int | None = None) -> tuple[list[str], np.ndarray]:
     """A prototype for each non-null lang: the mean of its documents' unit bundles, less the mean of all languages.
 
-    Learns from rows of doc_id, text and lang; of a language with more than train_docs rows, those whose hash of
-    doc_id falls under the share that makes that many. Sums are taken in the executors: what reaches the driver is a
-    row for each language, task and not for each document."""
+    Learns from every row of doc_id, text and lang, however many there are. A caller may ask for less with train_docs: of
+    a language with more rows, those whose hash of doc_id falls under the share that makes that many. Sums are taken in
+    the executors: what reaches the driver is a row for each language and component, not for each document."""
     known = docs.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return [], np.zeros((0, dimensions))
     common.bound_batches(docs.sparkSession)
-    share = F.coalesce(*[F.when(F.col("lang") == lang, min(1.0, train_docs / n)) for lang, n in counts.items()])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003
-    chosen = known.where(draw < share)
+    if train_docs is not None and (counts := {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}):
+        share = F.coalesce(*[F.when(F.col("lang") == lang, min(1.0, train_docs / n)) for lang, n in counts.items()])
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003
+        known = known.where(draw < share)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiler(dimensions)
@@ -127,12 +130,15 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, train_docs: int = TRAIN
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "parts": [v.tolist() for v in total.values()]})
 
-    parts = chosen.select("text", "lang").mapInArrow(sums, "lang string, parts array<double>")
+    parts = known.select("text", "lang").mapInArrow(sums, "lang string, parts array<double>")
     summed = parts.select("lang", F.posexplode("parts").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    langs = sorted(counts)
+    found = summed.toPandas()
+    langs = sorted(found.lang.unique())
+    if not langs:
+        return [], np.zeros((0, dimensions))
     at = {lang: i for i, lang in enumerate(langs)}
     out = np.zeros((len(langs), dimensions))
-    for lang, i, x in summed.toPandas().itertuples(index=False):
+    for lang, i, x in found.itertuples(index=False):
         out[at[lang], i] = x
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     mean = out.mean(axis=0) if len(langs) > 1 else 0
@@ -173,8 +179,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return base.mapInArrow(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def language_id(docs: DataFrame, dimensions: int = DIMENSIONS, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document, learned from those that are not held out."""
+def language_id(docs: DataFrame, dimensions: int = DIMENSIONS, train_docs: int | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, learned from all that are not held out."""
     marked = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     model = learn(marked.where(~F.col("held_out")), dimensions, train_docs)
     return identify(marked.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
