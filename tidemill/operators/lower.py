@@ -874,7 +874,7 @@ def joined_streams(ctx: Context, kind: str, ins: list[Stream], b: dict) -> Strea
             df = df.withColumn(TS, F.greatest(TS, "__df_ts2"))
         if err:
             df = df.withColumn(ERR, F.coalesce(*[F.col(n) for n in (ERR, "__df_err2") if n in df.columns]))
-        out = Stream(df.drop("__df_ts2", "__df_err2", *([] if timed else [TS])), (SEQ,), timed=timed, err=err)
+        out = Stream(df.drop("__df_ts2", "__df_err2", *([] if timed else [TS])), (SEQ,), dense=True, timed=timed, err=err)
     else:
         need_time(left), need_time(right)
         side = lambda s: (F.col("value") if s.columns == ["value"] else element(s))

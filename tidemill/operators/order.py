@@ -14,8 +14,9 @@ SEQ, TIE, TS, ERR, KEY = "__df_seq", "__df_tie", "__df_ts", "__df_err", "__df_ke
 RESERVED = "__df_"
 #: Rows of a block in a two-phase running aggregate.
 BLOCK = 1 << 20
-#: Estimated bytes of a plan's result from which positions are found by ranges over many tasks.
-LARGE_BYTES = 64 << 20
+#: Estimated bytes of a plan's result, or rows of the files below it, from which positions are found by ranges over many
+#: tasks. The estimate is of compressed columns, so that a few MB may be millions of rows.
+LARGE_BYTES, LARGE_ROWS = 64 << 20, 1 << 20
 LAST = (1 << 62) - 1
 
 
@@ -81,6 +82,7 @@ class Context:
         self.spark, self.forced, self.block = spark, large, block
         #: What stages did to elements beside passing them on, by name; None: nobody asks.
         self.counted: Counter | None = None
+        self.file_rows: dict[tuple[str, ...], int] = {}
 
     def count(self, name: str, df: DataFrame) -> None:
         """Count rows under a name, if anybody asks."""
@@ -90,7 +92,16 @@ class Context:
     def large(self, s: Stream) -> bool:
         if self.forced is not None:
             return self.forced
-        return int(str(s.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE_BYTES
+        if int(str(s.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE_BYTES:
+            return True
+        return self.rows_below(s.df) > LARGE_ROWS
+
+    def rows_below(self, df: DataFrame) -> int:
+        """Rows of the Parquet files that a plan reads, by their footers."""
+        files = tuple(sorted(f for f in df.inputFiles() if f.endswith(".parquet")))
+        if files and files not in self.file_rows:
+            self.file_rows[files] = self.spark.read.parquet(*files).count()
+        return self.file_rows.get(files, 0)
 
     def settled(self, s: Stream) -> Stream:
         """A large stream, stored: a guard reads it twice, and guards in a chain would else read what is above them as
@@ -108,7 +119,7 @@ class Context:
         ranged = ranged.withColumn("__df_p", F.shiftrightunsigned("__df_m", 33))
         counts = ranged.groupBy("__df_p").agg(F.count(F.lit(1)).alias("__df_n"))
         before = counts.select("__df_p", F.coalesce(F.sum("__df_n").over(Window.orderBy("__df_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__df_b"))
-        joined = ranged.join(before, "__df_p")
+        joined = ranged.join(F.broadcast(before), "__df_p")
         return self._named(s, F.col("__df_b") + F.col("__df_m").bitwiseAND(F.lit((1 << 33) - 1)), joined)
 
     def _named(self, s: Stream, position: Column, df: DataFrame) -> Stream:
@@ -135,7 +146,7 @@ class Context:
         merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
         carry = sums.select(*[F.col(c).alias(f"__df_c{i}") for i, c in enumerate((*s.part, "__df_block"))], *[merge[how](f"__df_y_{n}").over(over).alias(f"__df_z_{n}") for n, (how, _, _) in outs.items()])
         same = [F.col(c).eqNullSafe(F.col(f"__df_c{i}")) for i, c in enumerate((*s.part, "__df_block"))]
-        df2 = df2.join(carry, same)
+        df2 = df2.join(carry if s.part else F.broadcast(carry), same)
         for n, (how, _, _) in outs.items():
             a, b = F.col(n), F.col(f"__df_z_{n}")
             df2 = df2.withColumn(n, {"min": F.least, "max": F.greatest}[how](a, b) if how in ("min", "max") else F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
@@ -150,7 +161,7 @@ class Context:
         last = df.groupBy("__df_block").agg(*[F.max_by(F.struct(f"__df_x_{n}"), SEQ).alias(f"__df_y_{n}") for n in outs])
         last = last.select((F.col("__df_block") + 1).alias("__df_block"), *[F.col(f"__df_y_{n}") for n in outs])
         w = Window.partitionBy("__df_block").orderBy(SEQ)
-        df = df.withColumns({n: F.lag(F.struct(f"__df_x_{n}")).over(w) for n in outs}).join(last, "__df_block", "left")
+        df = df.withColumns({n: F.lag(F.struct(f"__df_x_{n}")).over(w) for n in outs}).join(F.broadcast(last), "__df_block", "left")
         return s.with_df(df.select(*s.df.columns, *[F.coalesce(n, f"__df_y_{n}")[f"__df_x_{n}"].alias(n) for n in outs]))
 
     def fail_at(self, s: Stream, cond: Column, code: str, message: Column) -> Stream:
