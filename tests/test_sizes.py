@@ -1,11 +1,16 @@
 """What decides between one task and many, and what large streams go through."""
 
+import asyncio
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill import functions as fn
 from tidemill import sources as S
 from tidemill.engine import Engine
+from tidemill.operators.interpreter import Chain
 from tidemill.operators.order import BLOCK, TS
+from tidemill.options import DistinctOptions, KeyOverflowPolicy
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +44,35 @@ def test_a_zip_is_numbered_and_is_not_put_in_order_again(spark):
     assert s.dense
     assert [(r.first.a, r.second) for r in s.df.orderBy(*s.order).collect()] == [(2 * i + 1, i) for i in range(5)]
     assert TS in s.df.columns
+
+
+@pytest.mark.parametrize("kind", ["awaited", "evicting", "fails"])
+def test_large_streams_go_element_by_element_in_stretches(spark, kind):
+    """Each stretch takes up the state of the one before; one task put the whole stream in order."""
+
+    async def step(s, r):
+        if kind == "fails" and r["a"] == 8:
+            raise ValueError("eight")
+        return s * 3 + r["a"]
+
+    def found(large):
+        s = S.from_rows([i * 5 % 11 for i in range(11)], "a long")
+        s = s.distinct(DistinctOptions(2, KeyOverflowPolicy.EVICT_OLDEST)) if kind == "evicting" else s.scan_async(fn.fold(0, step))
+        out = Engine(spark, large=large, block=3).stream(s)
+        assert large is None or ("stretches" in "".join(out.df.inputFiles())) == large
+        return [tuple(map(str, r)) for r in out.df.orderBy(*out.order).collect()]
+
+    assert found(True) == found(False)
+
+
+def test_a_step_is_awaited_without_entering_the_loop_for_it():
+    async def step(s, r):
+        await asyncio.sleep(0)
+        loops.add(id(asyncio.current_task()))
+        return s + r
+
+    loops = set()
+    chain = Chain([("scan", {"fold": fn.fold(0, step)})])
+    assert chain.offer_all([1, 2, 3]) == ([[{"value": 1}], [{"value": 3}], [{"value": 6}]], None)
+    assert chain.offer_all([4])[0] == [[{"value": 10}]]
+    assert len(loops) <= 2

@@ -269,11 +269,12 @@ class Engine:
 
     def _fold(self, f: Fold, s: Stream) -> Any:
         if f.kind == "python":
-            from .operators.interpreter import Chain
+            from .operators.interpreter import Last
 
-            out = sequential(self.ctx, s, lambda: Chain([("scan", {"fold": f})]), f"value {f.schema}")
-            self._fail(out)
-            last = out.df.orderBy(*[F.desc(c) for c in out.order]).limit(1).select("value").collect()
+            out = sequential(self.ctx, s, lambda: Last(f), f"value {f.schema}")
+            last = out.df.select("value", ERR).collect()  # one row: the last state, or the failure
+            if last and last[0][1]:
+                raise_coded(last[0][1])
             return last[0][0] if last else f.seed
         if f.kind == "last":
             found = s.df.orderBy(*[F.desc(c) for c in s.order]).limit(1).select(column(f.value)).collect()

@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 from tidemill.errors import TrackedKeyOverflowError
 from tidemill.options import ActiveKeyOverflowPolicy, KeyOverflowPolicy, RetryExhaustion, SupervisionForm
 
-from .order import ERR, SEQ, TIE, Context, Stream, checkpointed
+from .order import ERR, SEQ, TIE, Context, Stream, checkpoint_folder, checkpointed
 
-STATS = "__df_stats"
+STATS, STATE = "__df_stats", "__df_state"
+#: Bytes of a state that is handed from one stretch of a large stream to the next.
+MOST_STATE = 64 << 20
 
 #: A group or scope admits these stages.
 ADMITTED = ("select", "where", "scan", "take", "skip", "take-while", "take-through", "skip-while", "distinct", "deduplicate-consecutive", "grouped", "sliding", "fault-point")
@@ -48,6 +50,47 @@ class Chain:
             self.loop = asyncio.new_event_loop()
         return self.loop.run_until_complete(x)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"loop": None}  # a loop belongs to its worker
+
+    def offer_all(self, xs: list[Any]) -> tuple[list[list[Any]], Exception | None]:
+        """offer() of each element up to the first that fails. A scan alone awaits its steps in one go of the loop: to enter
+        it for each element costs more than most steps."""
+        outs: list[list[Any]] = []
+        try:
+            if len(self.steps) > 1 or self.steps[0][0] != "scan":
+                for x in xs:
+                    if self.ended:
+                        break
+                    outs.append(self.offer(x))
+                return outs, None
+            step, s = self.steps[0][1]["fold"].step, self.state[0]
+            for x in xs:
+                y = step(s["value"], x)
+                if inspect.isawaitable(y):
+                    break
+                s["value"] = y
+                outs.append(self._given(y))
+            else:
+                return outs, None
+
+            async def rest(y: Any) -> None:
+                for x in xs[len(outs) + 1 :]:
+                    s["value"] = await y if inspect.isawaitable(y) else y
+                    outs.append(self._given(s["value"]))
+                    y = step(s["value"], x)
+                s["value"] = await y if inspect.isawaitable(y) else y
+                outs.append(self._given(s["value"]))
+
+            self._now(rest(y))
+        except Exception as e:
+            return outs, e
+        return outs, None
+
+    def _given(self, state: Any) -> list[Any]:
+        """What a scan gives at each state."""
+        return [{"value": state}]
+
     def reset(self) -> None:
         self.state: list[dict] = [{"n": 0, "open": [], "keys": OrderedDict(), "value": copy.deepcopy(b["fold"].seed) if kind == "scan" else None} for kind, b in self.steps]
         self.ended = False
@@ -150,6 +193,19 @@ class Chain:
         return out
 
 
+class Last(Chain):
+    """A fold: its state at the end alone."""
+
+    def __init__(self, fold):
+        super().__init__([("scan", {"fold": fold})])
+
+    def _given(self, state: Any) -> list[Any]:
+        return []
+
+    def flush(self) -> list[Any]:
+        return [{"value": self.state[0]["value"]}]
+
+
 class Supervised:
     """A scope: its chain under a declared answer to failures."""
 
@@ -201,6 +257,10 @@ class Substreams:
         self.live: OrderedDict[Any, Chain] = OrderedDict()  # by last use
         self.opened: OrderedDict[int, Chain] = OrderedDict()  # by opening
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.opened = OrderedDict((id(c), c) for c in self.opened.values())
+
     def offer(self, x: Any) -> list[Any]:
         k = hashable(self.key(x))
         out: list[Any] = []
@@ -222,10 +282,26 @@ class Substreams:
         return [y for c in self.opened.values() for y in c.flush()]
 
 
+def offered(machine, xs: list) -> tuple[list[list], Exception | None]:
+    """What comes out for each element, up to the end of the machine or the first that fails."""
+    if hasattr(machine, "offer_all"):
+        return machine.offer_all(xs)
+    outs: list[list] = []
+    try:
+        for x in xs:
+            if machine.ended:
+                break
+            outs.append(machine.offer(x))
+    except Exception as e:
+        return outs, e
+    return outs, None
+
+
 def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
     """Run make() (an object with offer, flush and ended) over the elements in order, one task for each part.
 
-    Rows reach the worker sorted and in batches; only the object's own state is held. schema: the columns of what comes
+    Rows reach the worker sorted and in batches; only the object's own state is held. A large stream that is one part goes
+    in stretches, a task after the other, each with the state that the one before left. schema: the columns of what comes
     out; each is ordered by the element that set it free, and what the end sets free comes last."""
     s = ctx.dense(s)
     names = s.columns
@@ -239,20 +315,21 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
     counting = ctx.counted is not None
     if counting:  # a machine's counts are a row of their own
         full = full.add(STATS, T.StringType())
-    dealt = s.df.repartition(*part) if part else s.df.repartition(1)
-    dealt = dealt.sortWithinPartitions(*part, SEQ)
     err = s.err
 
-    def run(batches) -> Iterator:
+    def run(batches, state: bytes | None = None, last: bool = True, stretch: bool = False) -> Iterator:
         import pandas as pd
+        from pyspark import cloudpickle
 
         from .order import LAST
 
         machine, key, failed, since = None, None, False, 0
+        if state is not None:
+            machine, key = cloudpickle.loads(state), ()
         rows: list[tuple] = []
 
         def row(values: tuple, at: int, tie: int, error: str | None, stats: str | None = None) -> None:
-            rows.append((*values, *(key or ()), at, tie, error, *((stats,) if counting else ())))
+            rows.append((*values, *(key or ()), at, tie, error, *((stats,) if counting else ()), *((None,) if stretch else ())))
 
         def put(found: list, at: int, tie: int = 0) -> None:
             for i, y in enumerate(found, tie):
@@ -271,8 +348,17 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
             if machine is not None and counting and getattr(machine, "counts", None):
                 row((None,) * len(outs), LAST, 0, None, json.dumps(machine.counts))
 
+        def hand_on() -> None:
+            """The state as a row of its own; empty where it can't be handed on."""
+            machine_ = make() if machine is None else machine
+            try:
+                left = cloudpickle.dumps(machine_)
+            except Exception:
+                left = b""
+            rows.append((*(None,) * len(outs), -1, 0, None, *((None,) if counting else ()), left if len(left) <= MOST_STATE else b""))
+
         def frame() -> pd.DataFrame:
-            out = pd.DataFrame.from_records(rows, columns=[f.name for f in full]).astype({SEQ: "int64", TIE: "int64"})
+            out = pd.DataFrame.from_records(rows, columns=[*(f.name for f in full), *([STATE] if stretch else [])]).astype({SEQ: "int64", TIE: "int64"})
             rows.clear()
             return out
 
@@ -280,28 +366,40 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
             records = pdf.astype(object).where(pdf.notna(), None)
             parts = list(zip(*(records[c] for c in part), strict=True)) if part else [()] * len(records)
             errs = records[ERR] if err else [None] * len(records)
-            for values, p, at, e in zip(records[names].itertuples(index=False, name=None), parts, records[SEQ], errs, strict=True):
-                if machine is None or p != key:
+            values, ats = list(records[names].itertuples(index=False, name=None)), records[SEQ].tolist()
+            errs, i = list(errs), 0
+            while i < len(ats):
+                if machine is None or parts[i] != key:
                     end()
-                    machine, key, failed, since = make(), p, False, at
-                if failed or machine.ended:
-                    continue
-                if e is not None:
-                    row((None,) * len(outs), at, 0, e)
-                    failed = True
-                    continue
-                try:
-                    put(machine.offer(dict(zip(names, values, strict=True))), at)
-                except Exception as x:
-                    fail(x, at)
-                    failed = True
+                    machine, key, failed, since = make(), parts[i], False, ats[i]
+                j = i + 1  # elements of one part up to its next failure are offered together
+                while errs[i] is None and j < len(ats) and errs[j] is None and parts[j] == key:
+                    j += 1
+                if not failed and not machine.ended:
+                    if errs[i] is not None:
+                        row((None,) * len(outs), ats[i], 0, errs[i])
+                        failed = True
+                    else:
+                        found, x = offered(machine, [dict(zip(names, v, strict=True)) for v in values[i:j]])
+                        for at, ys in zip(ats[i:j], found, strict=False):
+                            put(ys, at)
+                        if x is not None:
+                            fail(x, ats[i + len(found)])
+                            failed = True
+                i = j
             if len(rows) > 1000:
                 yield frame()
-        end()
+        if last or failed or machine is not None and machine.ended:
+            end()
+        else:
+            hand_on()
         if rows:
             yield frame()
 
-    df: DataFrame = dealt.mapInPandas(run, full)
+    df: DataFrame | None = None if part or not ctx.large(s) else in_stretches(ctx, s, run, full)
+    if df is None:
+        dealt = s.df.repartition(*part) if part else s.df.repartition(1)
+        df = dealt.sortWithinPartitions(*part, SEQ).mapInPandas(run, full)
     if counting:
         df = checkpointed(df)
         for r in df.where(F.col(STATS).isNotNull()).groupBy(STATS).agg(F.count(F.lit(1)).alias("n")).collect():
@@ -309,3 +407,27 @@ def sequential(ctx: Context, s: Stream, make, schema: str) -> Stream:
                 ctx.counted[name] += n * r["n"]
         df = df.where(F.col(STATS).isNull()).drop(STATS)
     return s.with_df(df, order=(SEQ, TIE), dense=False, timed=False, err=True)
+
+
+def in_stretches(ctx: Context, s: Stream, run, full: T.StructType) -> DataFrame | None:
+    """run() over each block of positions, in order; None if a state can't be handed on."""
+    path, out = checkpoint_folder(ctx.spark, "blocks"), checkpoint_folder(ctx.spark, "stretches")
+    s.df.withColumn("__df_block", F.expr(f"{SEQ} div {ctx.block}")).write.partitionBy("__df_block").parquet(path)
+    schema = T.StructType([*s.df.schema, T.StructField("__df_block", T.LongType())])
+    rows = ctx.spark.read.schema(schema).parquet(path)
+    n = rows.agg(F.max("__df_block")).first()[0]
+    if not n:
+        return None
+    made = T.StructType([*full, T.StructField(STATE, T.BinaryType())])
+    state, done = None, []
+    for i in range(n + 1):
+        block = rows.where(F.col("__df_block") == i).drop("__df_block").repartition(1).sortWithinPartitions(SEQ)
+        done.append(f"{out}/{i}")
+        block.mapInPandas(lambda batches, state=state, last=i == n: run(batches, state, last, True), made).write.parquet(done[-1])
+        left = ctx.spark.read.schema(made).parquet(done[-1]).where(F.col(SEQ) == -1).select(STATE).collect()
+        if not left:  # the end, a failure, or a machine that takes no more
+            break
+        state = bytes(left[0][0])
+        if not state:
+            return None
+    return ctx.spark.read.schema(made).parquet(*done).where(F.col(STATE).isNull()).drop(STATE)
