@@ -299,6 +299,9 @@ def scan(ctx: Context, s: Stream, b: dict) -> Stream:
         return sequential(ctx, s, lambda: Chain([("scan", b)]), f"value {f.schema}")
     if f.kind == "last":
         return s.with_df(s.df.select(column(f.value).alias("value"), *s.internal))
+    if f.kind == "count" and not s.part:
+        s = ctx.dense(s)
+        return s.with_df(s.df.select((F.col(SEQ) + 1 + f.seed).alias("value"), *s.internal))
     value = F.lit(1) if f.kind == "count" else column(f.value)
     r = ctx.running(s, {"__df_run": ({"sum": "sum", "count": "count", "min": "min", "max": "max"}[f.kind], value, True)})
     state = F.col("__df_run")
@@ -625,6 +628,7 @@ def throttle(ctx: Context, s: Stream, b: dict) -> Stream:
     s = s.with_df(s.df.withColumn("__df_cost", cost))
     s = ctx.fail_at(s, (F.col("__df_cost") < 0) | (F.col("__df_cost") > burst), "RateLimitExceededError", F.concat(F.lit("a cost of "), F.col("__df_cost").cast("string"), F.lit(f" is not within 0..{burst}"))) if b.get("cost") is not None else s
     s = ctx.running(s, {"__df_sum": ("sum", F.col("__df_cost"), True)})
+    s = ctx.settled(s)  # each running aggregate reads its stream twice
     s = ctx.running(s, {"__df_peak": ("max", F.col(TS) * r - p * burst - (F.col("__df_sum") - F.col("__df_cost")) * p, True)})
     v = F.ceil((F.col("__df_sum") * p + F.greatest(t0 * r - p * burst, F.col("__df_peak"))) / r).cast("long") if r != 1 else F.col("__df_sum") * p + F.greatest(t0 - p * burst, F.col("__df_peak"))
     v = F.when(F.col("__df_cost") == 0, F.col(TS)).otherwise(v)
@@ -632,7 +636,7 @@ def throttle(ctx: Context, s: Stream, b: dict) -> Stream:
     if o.mode == ThrottleMode.ENFORCING:
         s = ctx.fail_at(s, F.col("__df_v") > F.col(TS), "RateLimitExceededError", F.lit(f"more than {r} in {p} microseconds"))
     else:
-        s = ctx.running(s, {"__df_out": ("max", F.greatest(TS, "__df_v"), True)})
+        s = ctx.running(ctx.settled(s), {"__df_out": ("max", F.greatest(TS, "__df_v"), True)})
         s = s.with_df(s.df.withColumn(TS, F.col("__df_out")))
     return s.with_df(s.df.drop("__df_cost", "__df_sum", "__df_peak", "__df_v", "__df_out"))
 
